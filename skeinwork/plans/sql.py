@@ -7,6 +7,30 @@ SELECT a.i AS item_a, b.i AS item_b, count(*) AS together
 FROM s a JOIN s b ON a.g = b.g AND a.i < b.i SEMI JOIN k ON a.g = k.g GROUP BY ALL HAVING count(*) >= 2
 """
 
+_P3 = r"""
+WITH e AS (SELECT DISTINCT session_id, project_id, id, data, CASE WHEN timestamp < 100000000000 THEN timestamp * 1000 ELSE timestamp END AS ts,
+             CASE WHEN coalesce(trim(type), '') = '' THEN 'unknown' ELSE regexp_replace(lower(trim(replace(type, '-', '_'))), '\s+', '_', 'g') END AS type,
+             coalesce(try_cast(regexp_extract(data, '"tokens"\s*:\s*"?([0-9]{1,15})\s*[",}]', 1) AS BIGINT), 0) AS tokens FROM telemetry_events),
+r AS (SELECT CASE WHEN timestamp < 100000000000 THEN timestamp * 1000 ELSE timestamp END AS ts FROM telemetry_events),
+w AS (SELECT ts // 604800000 AS week, count(*) AS n, max(ts) AS last FROM r GROUP BY 1),
+now AS (SELECT max(last) AS now FROM w WHERE n >= (SELECT avg(n) FROM w) / 20),
+l AS (SELECT session_id, type, CAST(count(*) AS BIGINT) AS n, (SELECT now FROM now) - max(ts) FILTER (WHERE ts <= (SELECT now FROM now)) AS since_ms,
+             CAST(sum(tokens) AS BIGINT) AS tokens, max(project_id) AS project_id FROM e WHERE session_id IS NOT NULL GROUP BY 1, 2)
+"""
+
+P3_LONG = _P3 + "SELECT session_id, project_id, type, n, since_ms, tokens FROM l"
+
+P3_FEATURES = (
+    _P3
+    + """
+, p AS (SELECT session_id, max(project_id) AS project_id FROM l GROUP BY 1),
+t AS (SELECT DISTINCT type FROM l),
+f AS (SELECT p.session_id, p.project_id, t.type, coalesce(l.n, 0) AS n, l.since_ms, coalesce(l.tokens, 0) AS tokens
+      FROM p CROSS JOIN t LEFT JOIN l ON l.session_id = p.session_id AND l.type = t.type)
+SELECT * FROM (PIVOT f ON type USING max(n) AS _n, max(since_ms) AS _since_ms, max(tokens) AS _tokens GROUP BY session_id, project_id)
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"cochange_parts": COCHANGE_PARTS}
+    return {"cochange_parts": COCHANGE_PARTS, "p3_features": P3_FEATURES, "p3_long": P3_LONG}
