@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.llm.funcdoc import code_description_pairs
+from skeinwork.llm.generated import unwritten_files
+from skeinwork.llm.mixing import Mixture
 from skeinwork.llm.neardup import NearDuplicates, plain_path
+from skeinwork.llm.reading import reading_levels, train
 from skeinwork.llm.similar import most_similar, similar_pairs
 from skeinwork.llm.splitting import split_oversized
 from skeinwork.llm.tokenize import encode_corpus
@@ -48,10 +52,55 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _alike(spark, d).groups()
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return code_description_pairs(*(table(spark, d, t) for t in ("symbols", "files", "source_texts")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("symbol_id")
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d)
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return unwritten_files(*(table(spark, d, t) for t in ("files", "vendor_catalog", "source_texts")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("reason is not null").select("file_id")
+
+
+def p7_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("reason is null").select("file_id", "path")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return reading_levels(docs, train(docs, table(spark, d, "reading_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where("level >= 4").select("doc_id").distinct()
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_pieces, p2_found, p2_nearest, p4_found, p4_groups, p8_ids]
+    named = [p1_found, p1_pieces, p2_found, p2_nearest, p4_found, p4_groups, p5_found, p5_pairs, p7_found, p7_handwritten, p8_ids, p9_mixture, p9_shares, p10_found, p10_levels]
     return {f.__name__: f for f in named}
