@@ -171,7 +171,7 @@ def rendered(spark: SparkSession, d: str) -> DataFrame:
 RENDERED = """
 WITH v AS (SELECT *, o_orderkey % 7 AS a, o_orderkey % 5 AS b FROM orders)
 SELECT o_orderkey, 'order ' || o_orderkey || ' of ' || o_custkey || ': ' || o_orderstatus || ' {{nobody}} ' || o_orderkey || ' ' || o_orderpriority AS text, 'customer,nobody' AS unknown,
- CASE WHEN o_orderkey >= 1000 THEN printf('%.1f', o_orderkey / 1000) || 'k' ELSE CAST(o_orderkey AS VARCHAR) END AS tokens,
+ CASE WHEN o_orderkey >= 1000 THEN printf('%.1f', CASE WHEN o_orderkey % 1000 IN (250, 750) THEN (o_orderkey + 1) / 1000 ELSE o_orderkey / 1000 END) || 'k' ELSE CAST(o_orderkey AS VARCHAR) END AS tokens,
  CASE WHEN o_orderkey >= 60 THEN (o_orderkey // 60) || 'm ' || (o_orderkey % 60) || 's' ELSE o_orderkey || 's' END AS duration,
  round(1 - 1 / (1 + ln(1 + greatest(o_totalprice, 0))), 9) AS squashed,
  CAST(CASE WHEN a <> 3 THEN sign(a - 3) WHEN b <> 2 THEN sign(b - 2) ELSE -1 END AS INTEGER) AS compared, '&lt;a b=&quot;&apos;&amp;&apos;&quot;&gt;' || o_orderpriority AS xml, strftime(o_orderdate, '%Y-%m-%d') AS day,
