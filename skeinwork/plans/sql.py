@@ -1,6 +1,6 @@
 """SQL over the same tables for the queries of the core."""
 
-from skeinwork.plans import graph, text
+from skeinwork.plans import data, graph, text
 
 COCHANGE_PARTS = """
 WITH s AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem),
@@ -35,4 +35,4 @@ SELECT * FROM (PIVOT f ON type USING max(n) AS _n, max(since_ms) AS _since_ms, m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"cochange_parts": COCHANGE_PARTS, "p3_features": P3_FEATURES, "p3_long": P3_LONG} | text.SQL | graph.SQL
+    return {"cochange_parts": COCHANGE_PARTS, "p3_features": P3_FEATURES, "p3_long": P3_LONG} | text.SQL | graph.SQL | data.SQL
