@@ -127,8 +127,8 @@ def most_similar(
     aside. With ``min_cosine``, only others that similar are asked for, and windows stop there.
     ``queries`` (a frame with the id column) restricts who asks, never who answers.
 
-    ``probes`` is the number of cells a query looks into, or a share of all cells if below
-    one. The pivots are at most ``max_pivots`` vectors, a hash-ordered sample; all
+    ``probes`` is the number of cells a query looks into or, as a float up to
+    1.0, the share of all cells. The pivots are at most ``max_pivots`` vectors, a hash-ordered sample; all
     vectors are indexed. Defaults suit ``min_cosine`` 0.9; see the README for measured recall.
     """
     rows = vectors.select(F.col(id).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where("id is not null and vec is not null")
@@ -142,7 +142,7 @@ def most_similar(
         return vectors.sparkSession.createDataFrame([], empty)
     wanted = int(min(max_pivots, max(1, -(-total // cell))))
     pivots = _array(pa.array([bytes(r.u) for r in reps.orderBy("h", "u").limit(wanted).select("u").collect()], pa.binary()), dims)
-    look = min(wanted, max(1, round(probes * wanted) if isinstance(probes, float) and probes < 1 else int(probes)))
+    look = min(wanted, max(1, round(probes * wanted) if isinstance(probes, float) and probes <= 1 else int(probes)))
     asks = reps
     if queries is not None:
         who = queries.select(F.col(id).cast("string").alias("id")).distinct()
