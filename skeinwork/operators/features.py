@@ -59,7 +59,7 @@ def session_features(events: DataFrame, as_of: int | None = None, salts: int = 1
     Missing or unreadable tokens add 0. Other columns are left aside.
 
     ``layout``: ``wide`` has columns ``<type>__n``, ``__since_ms`` and ``__tokens`` of every type
-    in the data (or in ``types``), at most 2000 of them; ``long`` has one row per session and
+    in the data (or in ``types``), at most 2000 of them, and none where there are no events; ``long`` has one row per session and
     type that occurs.
     """
     if as_of is None:
@@ -81,6 +81,8 @@ def session_features(events: DataFrame, as_of: int | None = None, salts: int = 1
             raise ValueError(f"more than {MOST_TYPES} event types; use layout='long' or name the types")
         types = [r.type for r in found]
     project = merged.groupBy("session_id").agg(F.max("project_id").alias("project_id"))
+    if not types:
+        return project
     wide = merged.groupBy("session_id").pivot("type", types).agg(F.max("n").alias("_n"), F.max("since_ms").alias("_since_ms"), F.max("tokens").alias("_tokens"))
     cols = []
     for t in types:
