@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from skeinwork.runtime import stored
 
@@ -61,7 +62,7 @@ def signatures(rows: DataFrame, hashes: int = HASHES) -> DataFrame:
             sigs = [None if t is None else _signature(t, hashes) for t in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sigs, pa.list_(pa.int64()))], names=[*names, "minhash"])
 
-    schema = rows.select(*names).withColumn("minhash", F.array().cast("array<bigint>")).schema
+    schema = StructType([*(f for f in rows.schema if f.name != "tokens"), StructField("minhash", ArrayType(LongType()))])
     return rows.mapInArrow(run, schema)
 
 

@@ -92,18 +92,19 @@ def call_graph(symbols: DataFrame, refs: DataFrame, lines: DataFrame) -> DataFra
 
 
 def rescue_edges(files: DataFrame, edges: DataFrame, cochanges: DataFrame, least: int = 2) -> DataFrame:
-    """Edges to files that nothing imports: from the file most often changed with them, if that
-    one is itself imported; else from the least other imported file of the same folder."""
+    """Edges to files that nothing imports: from the file most often changed with them that is no such file
+    itself; else from the least imported file in their folder or below it."""
     f = files.select("id", "path", "is_barrel").distinct()
     held = edges.select(F.col("target_file_id").alias("id")).distinct()
     lone = f.where("not is_barrel").join(held, "id", "left_anti").select("id", "path")
     both = cochanges.select(F.col("file_id_a").alias("id"), F.col("file_id_b").alias("peer"), "count").union(cochanges.select("file_id_b", "file_id_a", "count"))
-    top = both.where(F.col("count") >= least).join(lone.select("id"), "id", "left_semi").groupBy("id").agg(F.max_by("peer", F.struct("count", -F.col("peer"))).alias("peer"))
-    top = top.join(lone.select(F.col("id").alias("peer")), "peer", "left_anti")
+    both = both.where(F.col("count") >= least).join(lone.select("id"), "id", "left_semi").join(lone.select(F.col("id").alias("peer")), "peer", "left_anti")
+    top = both.groupBy("id").agg(F.max_by("peer", F.struct("count", -F.col("peer"))).alias("peer"))
     first = top.select(F.col("peer").alias("source_file_id"), F.col("id").alias("target_file_id"), F.lit(RESCUE_COCHANGE).alias("weight"), F.lit(RESCUE_COCHANGE).alias("confidence"))
-    folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
-    good = f.join(lone.select("id"), "id", "left_anti").groupBy(folder("path").alias("folder")).agg(F.min("id").alias("peer"))
-    rest = lone.join(top.select("id"), "id", "left_anti").select("id", folder("path").alias("folder")).join(good, "folder")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    good = f.join(held, "id", "left_semi").where(F.size(parts) > 1).select("id", F.explode(above).alias("folder")).groupBy("folder").agg(F.min("id").alias("peer"))
+    rest = lone.join(top.select("id"), "id", "left_anti").select("id", F.regexp_replace("path", "/?[^/]*$", "").alias("folder")).join(good, "folder")
     second = rest.select(F.col("peer").alias("source_file_id"), F.col("id").alias("target_file_id"), F.lit(RESCUE_FOLDER).alias("weight"), F.lit(RESCUE_FOLDER).alias("confidence"))
     return first.unionByName(second)
 

@@ -142,9 +142,11 @@ def parse_log(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     for rule in LAYOUTS:
         mine = F.col("rule") == rule.name
         part = lambda pattern: F.regexp_extract("line", pattern, 1)
+        # among pairs, what a quoted value says is no key
+        bare = F.regexp_replace("line", r'"(?:[^"\\]|\\.)*"', '""') if rule.name == "pairs" else F.col("line")
         stamp = F.when(mine, _time_of(rule, part(rule.time))).otherwise(stamp)
-        component = F.when(mine, F.lower(part(rule.component))).otherwise(component)
-        level = F.when(mine, level_name(part(rule.level))).otherwise(level)
+        component = F.when(mine, F.lower(F.regexp_extract(bare, rule.component, 1))).otherwise(component)
+        level = F.when(mine, level_name(F.regexp_extract(bare, rule.level, 1))).otherwise(level)
         rest = F.when(mine, part(rule.message)).otherwise(rest)
     rows = rows.select("line_id", "log_name", "line_no", "line", stamp.alias("ts_ms"), component.alias("component"), level.alias("level"), rest.alias("rest"))
     opens = F.col("ts_ms").isNotNull() & (F.length("component") > 0)

@@ -248,8 +248,8 @@ _TESTED = "regexp_replace(regexp_replace(regexp_replace(path, '\\.test\\.', '.')
 LONELY_FILES = f"""
 WITH f AS (SELECT DISTINCT id, path, line_count, is_barrel, regexp_replace(path, '/?[^/]*$', '') AS folder, path ILIKE '%.test.%' OR path ILIKE '%_test.%' OR path ILIKE '%.spec.%' AS test FROM files),
 t AS (SELECT b.id FROM (SELECT *, {_TESTED} AS goal FROM f WHERE test) a JOIN f b ON b.path = a.goal WHERE a.path <> a.goal),
-lone AS (SELECT * FROM f WHERE NOT is_barrel AND id NOT IN (FROM t)), good AS (SELECT DISTINCT folder FROM f WHERE id NOT IN (SELECT id FROM lone)),
-saved AS (SELECT id FROM lone WHERE folder IN (FROM good))
+lone AS (SELECT * FROM f WHERE NOT is_barrel AND id NOT IN (FROM t)), good AS (SELECT DISTINCT folder FROM f WHERE id IN (FROM t)),
+saved AS (SELECT id FROM lone WHERE folder <> '' AND EXISTS (SELECT 1 FROM good WHERE good.folder = lone.folder OR starts_with(good.folder, lone.folder || '/')))
 SELECT id, line_count FROM f WHERE NOT is_barrel AND NOT test AND id NOT IN (FROM t) AND id NOT IN (FROM saved)
 """
 
