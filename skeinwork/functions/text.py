@@ -209,7 +209,7 @@ def gate_passes(text: Column, role: Column) -> Column:
 
 def base_command(command: Column) -> Column:
     """The program of a command's first segment, assignments before it left out; null if there is none."""
-    bare = F.regexp_replace(F.trim(command), r"^(?:[A-Za-z_][A-Za-z0-9_]*=\S+\s+)+", "")
+    bare = F.regexp_replace(F.trim(command), r"^(?:[A-Za-z_][A-Za-z0-9_]*=\S+\s+)++", "")
     first = F.trim(F.split(bare, "[|;&]")[0])
     return F.when(F.length(first) > 0, F.split(first, r"\s+")[0])
 

@@ -26,7 +26,8 @@ WINDOW, LEAST_FRAGMENT = 12, 16
 
 def tokens(text: Column) -> Column:
     """Tokens of a source text: strings as $S, numbers as $N, names as $I unless keywords."""
-    raw = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
+    # possessive loops match the same here, and long strings do not deepen the matcher's stack
+    raw = F.regexp_extract_all(text, F.lit(f"({TOKEN.replace(')*', ')*+')})"), F.lit(1))
     words = F.array(*map(F.lit, KEYWORDS))
     name = lambda t: F.when(F.array_contains(words, t), t).otherwise(F.lit("$I"))
     return F.transform(raw, lambda t: F.when(t.rlike("^[\"'`]"), "$S").when(t.rlike("^[0-9]"), "$N").when(t.rlike("^[a-zA-Z_$]"), name(t)).otherwise(t))

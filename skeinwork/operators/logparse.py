@@ -47,10 +47,10 @@ LAYOUTS = [
     Layout("zulu", r"^9-9-9T9:9:9\.9Z a \[a\] ", "iso", r"^(\d+-\d+-\d+T\d+:\d+:\d+\.\d+Z) ", r"^\S+ \w+ +\[(\w+)\] ", r"^\S+ (\w+) ", r"^\S+ \w+ +\[\w+\] ?(.*)$"),
     Layout("zoned", r"^9-9-9T9:9:9\.9[+-]9(:9)? a +a \| ", "iso", r"^(\d+-\d+-\d+T\d+:\d+:\d+\.\d+[+-]\d\d:?\d\d) ", r"^\S+ \w+ +(\w+) \| ", r"^\S+ (\w+) ", r"^\S+ \w+ +\w+ \| ?(.*)$"),
     Layout("letter", r"^[a]9 9:9:9\.9 +9 a\.a:9\] ", "MMdd", r"^[A-Z](\d{4} \d+:\d+:\d+\.\d+) ", r"^\S+ \S+ +\d+ (\w+)\.\w+:\d+\] ", r"^([A-Z])\d{4} ", r"^\S+ \S+ +\d+ \w+\.\w+:\d+\] ?(.*)$"),
-    Layout("pairs", r"^a=9-9-9T9:9:9\.9Z ", "iso", r"^\w+=(\d+-\d+-\d+T\S+) ", r"(?:^| )component=(\S+)", r"(?:^| )level=(\w+)", r'(?:^| )msg="((?:[^"\\]|\\.)*)"'),
+    Layout("pairs", r"^a=9-9-9T9:9:9\.9Z ", "iso", r"^\w+=(\d+-\d+-\d+T\S+) ", r"(?:^| )component=(\S+)", r"(?:^| )level=(\w+)", r'(?:^| )msg="((?:[^"\\]|\\.)*+)"'),
     Layout("dashed", r"^9-9-9 9:9:9,9 - a(\.a)* - a - ", "iso", r"^(\d+-\d+-\d+ \d+:\d+:\d+[,.]\d+) - ", r"^\S+ \S+ - (?:\w+\.)*(\w+) - ", r"^\S+ \S+ - \S+ - (\w+) - ", r"^\S+ \S+ - \S+ - \w+ - ?(.*)$"),
     Layout("syslog", r"^a +9 9:9:9 w a-a\[9\]: <a> ", "MMM d", r"^(\w{3} +\d+ \d+:\d+:\d+) ", r"^\w+ +\d+ \S+ \S+ (?:\w+-)*(\w+)\[", r"^\w+ +\d+ \S+ \S+ \S+ <(\w+)>", r"^\w+ +\d+ \S+ \S+ \S+ <\w+> ?(.*)$"),
-    Layout("object", r'^\{"a": ?', "json", r'"(?:time|ts|timestamp)" ?: ?"?([0-9][^",}]*)', r'"(?:component|logger)" ?: ?"(?:\w+\.)*(\w+)"', r'"level" ?: ?"?(\w+)', r'"(?:msg|message)" ?: ?"((?:[^"\\]|\\.)*)"'),
+    Layout("object", r'^\{"a": ?', "json", r'"(?:time|ts|timestamp)" ?: ?"?([0-9][^",}]*)', r'"(?:component|logger)" ?: ?"(?:\w+\.)*(\w+)"', r'"level" ?: ?"?(\w+)', r'"(?:msg|message)" ?: ?"((?:[^"\\]|\\.)*+)"'),
     Layout("spaced", r"^9-9-9 9:9:9\.9 a a ", "iso", r"^(\d+-\d+-\d+ \d+:\d+:\d+\.\d+) ", r"^\S+ \S+ \w+ +(\w+) ", r"^\S+ \S+ (\w+) ", r"^\S+ \S+ \w+ +\w+ ?(.*)$"),
 ]
 # The words, letters and numbers by which programs name a level.
@@ -143,7 +143,7 @@ def parse_log(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
         mine = F.col("rule") == rule.name
         part = lambda pattern: F.regexp_extract("line", pattern, 1)
         # among pairs, what a quoted value says is no key
-        bare = F.regexp_replace("line", r'"(?:[^"\\]|\\.)*"', '""') if rule.name == "pairs" else F.col("line")
+        bare = F.regexp_replace("line", r'"(?:[^"\\]|\\.)*+"', '""') if rule.name == "pairs" else F.col("line")
         stamp = F.when(mine, _time_of(rule, part(rule.time))).otherwise(stamp)
         component = F.when(mine, F.lower(F.regexp_extract(bare, rule.component, 1))).otherwise(component)
         level = F.when(mine, level_name(F.regexp_extract(bare, rule.level, 1))).otherwise(level)

@@ -41,6 +41,13 @@ def test_continuations_over_blocks(spark):
     assert first.message.split("\n")[0] == "a" and first.message.split("\n")[1] == OTHERS[0]
 
 
+def test_very_long_lines(spark):
+    long = "x\\n" * 100_000
+    rows = [(1, "l", 1, f'{{"time": 1773501640767, "level": 40, "component": "router", "msg": "{long}"}}'), (2, "l", 2, f'ts=2026-03-14T16:12:31.861Z level=info component=tui msg="{long}"'), (3, "l", 3, '{"' + "a" * 300_000)]
+    got = {r.first_line_id: (r.last_line_id, r.component, len(r.message)) for r in parse_log(lines(spark, rows)).collect()}
+    assert got == {1: (1, "router", len(long)), 2: (3, "tui", len(long) + 300_003)}
+
+
 def test_empty(spark):
     assert parse_log(lines(spark, [])).count() == 0
     assert parse_log(lines(spark, [(1, "l", 1, None)])).count() == 0

@@ -155,6 +155,9 @@ def test_clones(spark):
     assert got[1][7] == min(int(hashlib.sha256(f"7\x01{r}".encode()).hexdigest()[:8], 16) for r in runs)
     assert [(r.id_a, r.id_b, r.similarity) for r in C.near_duplicates(sig).collect()] == [(1, 2, 1.0)]
     assert C.fragments(rows).count() == 0
+    for t in ('"' + "x" * 200_000 + '"', "'" + "\\n" * 100_000, "`" + "y\n" * 100_000 + "`"):
+        assert one(spark, F.size(C.tokens(F.col("t"))), t=t) > 0
+    assert one(spark, T.base_command(F.col("t")), t="A=1 " * 50_000 + "ls") == "ls"
     long = spark.createDataFrame([(1, [str(k % 5) for k in range(20)])], "id long, tokens array<string>")
     assert C.fragments(long).count() == 9
 
