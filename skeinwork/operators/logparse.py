@@ -135,8 +135,9 @@ def parse_log(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """
     rows = lines.select("line_id", "log_name", "line_no", "message").withColumn("line", clean_line(F.col("message")))
     heads = rows.where(F.col("line").rlike(r"^[\[{A-Za-z0-9]")).select(signature(F.col("line")).alias("sig"))
-    rules = heads.groupBy("sig").agg(F.lit(1).alias("_")).select("sig", resolve(F.col("sig")).alias("rule")).where("rule is not null")
-    rules = hinted(stored(rules, "rules"))
+    # stored before they are resolved, else the rules would be tried on every line again
+    found = stored(heads.distinct(), "signatures")
+    rules = hinted(found.select("sig", resolve(F.col("sig")).alias("rule")).where("rule is not null"))
     rows = rows.withColumn("sig", signature(F.col("line"))).join(rules, "sig", "left").drop("sig", "message")
     stamp, level, component, rest = (F.lit(None).cast(k) for k in ("long", "string", "string", "string"))
     for rule in LAYOUTS:
