@@ -65,22 +65,26 @@ def session_features(events: DataFrame, as_of: int | None = None, salts: int = 1
     if as_of is None:
         as_of = last_full_week(events)
     now = F.lit(as_of).cast("long")
-    rows = events.where("session_id is not null").select("session_id", "project_id", plain_type(F.col("type")).alias("type"), "id", in_ms(F.col("timestamp")).alias("ts"), token_total(F.col("data")).alias("tokens"), F.xxhash64("data").alias("payload"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("byte").alias("salt"))
+    known = events.where("session_id is not null")
+    # apart from the rest, whose buffers thus hold numbers only and need no sorting
+    project = known.select("session_id", "project_id").distinct().groupBy("session_id").agg(F.max("project_id").alias("project_id"))
+    rows = known.select("session_id", plain_type(F.col("type")).alias("type"), "id", in_ms(F.col("timestamp")).alias("ts"), token_total(F.col("data")).alias("tokens"), F.xxhash64("data").alias("payload"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("byte").alias("salt"))
     # one shuffle: the two groupings that follow need no other
     rows = rows.repartition("session_id", "type", "salt")
-    once = rows.groupBy("session_id", "type", "salt", "id", "ts", "payload").agg(F.max("tokens").alias("tokens"), F.max("project_id").alias("project_id"))
+    once = rows.groupBy("session_id", "type", "salt", "id", "ts", "payload").agg(F.max("tokens").alias("tokens"))
     last = F.max(F.when(F.col("ts") <= now, F.col("ts")))
-    part = once.groupBy("session_id", "type", "salt").agg(F.count(F.lit(1)).alias("n"), last.alias("last"), F.sum("tokens").alias("tokens"), F.max("project_id").alias("project_id"))
-    merged = part.groupBy("session_id", "type").agg(F.sum("n").alias("n"), (now - F.max("last")).alias("since_ms"), F.sum("tokens").alias("tokens"), F.max("project_id").alias("project_id"))
+    part = once.groupBy("session_id", "type", "salt").agg(F.count(F.lit(1)).alias("n"), last.alias("last"), F.sum("tokens").alias("tokens"))
+    merged = part.groupBy("session_id", "type").agg(F.sum("n").alias("n"), (now - F.max("last")).alias("since_ms"), F.sum("tokens").alias("tokens"))
+    # one row a session, so a hash table per partition holds it
+    project = project.hint("shuffle_hash")
     if layout == "long":
-        return merged.select("session_id", "project_id", "type", "n", "since_ms", "tokens")
+        return merged.join(project, "session_id").select("session_id", "project_id", "type", "n", "since_ms", "tokens")
     merged = stored(merged, "features")
     if types is None:
         found = merged.select("type").distinct().orderBy("type").limit(MOST_TYPES + 1).collect()
         if len(found) > MOST_TYPES:
             raise ValueError(f"more than {MOST_TYPES} event types; use layout='long' or name the types")
         types = [r.type for r in found]
-    project = merged.groupBy("session_id").agg(F.max("project_id").alias("project_id"))
     if not types:
         return project
     wide = merged.groupBy("session_id").pivot("type", types).agg(F.max("n").alias("_n"), F.max("since_ms").alias("_since_ms"), F.max("tokens").alias("_tokens"))

@@ -20,7 +20,7 @@ l AS (SELECT session_id, type, CAST(count(*) AS BIGINT) AS n, (SELECT now FROM n
              CAST(sum(tokens) AS BIGINT) AS tokens, max(project_id) AS project_id FROM e WHERE session_id IS NOT NULL GROUP BY 1, 2)
 """
 
-P3_LONG = _P3 + "SELECT session_id, project_id, type, n, since_ms, tokens FROM l"
+P3_LONG = _P3 + "SELECT session_id, max(project_id) OVER (PARTITION BY session_id) AS project_id, type, n, since_ms, tokens FROM l"
 
 P3_FEATURES = (
     _P3
