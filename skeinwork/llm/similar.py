@@ -2,8 +2,8 @@
 
 Vectors are scaled to length one, equal ones become one. They are dealt to cells, the
 cell being the nearest of some pivots drawn from the vectors themselves; where vectors
-are dense, pivots are too. A query looks into the cells of its nearest pivots. Within
-a cell, every projection on a random line gives a sorted array; a window centred on
+are dense, pivots are too. A query looks into the cells of its nearest pivots, of several
+independent sets of pivots. Within a cell, every projection on a random line gives a sorted array; a window centred on
 the query's own projection is laid over each, and a vector is counted wherever it lies
 in the window. From ``threshold`` counts on, its similarity is computed. Windows start
 narrow and widen by virtual rehashing (the same arrays, a larger radius) for the queries
@@ -111,7 +111,8 @@ def most_similar(
     id: str = "id",
     vector: str = "embedding",
     dims: int = 64,
-    probes: int | float = 6,
+    tables: int = 3,
+    probes: int | float = 4,
     cell: int = 512,
     max_pivots: int = 16384,
     lines: int = 16,
@@ -127,9 +128,10 @@ def most_similar(
     aside. With ``min_cosine``, only others that similar are asked for, and windows stop there.
     ``queries`` (a frame with the id column) restricts who asks, never who answers.
 
-    ``probes`` is the number of cells a query looks into or, as a float up to
-    1.0, the share of all cells. The pivots are at most ``max_pivots`` vectors, a hash-ordered sample; all
-    vectors are indexed. Defaults suit ``min_cosine`` 0.9; see the README for measured recall.
+    ``probes`` is the number of cells a query looks into or, as a float up to 1.0, the share of all
+    cells, in each of ``tables`` sets of them. The pivots of a set are at most ``max_pivots``
+    vectors, a hash-ordered sample; all vectors are indexed. Cells compare in half precision, then the
+    best ``k`` and a few more are compared exactly. Defaults suit ``min_cosine`` 0.9.
     """
     rows = vectors.select(F.col(id).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where("id is not null and vec is not null")
     unit = rows.mapInArrow(lambda it: _unit(it, dims), "id string, u binary")
@@ -141,60 +143,79 @@ def most_similar(
     if total == 0:
         return vectors.sparkSession.createDataFrame([], empty)
     wanted = int(min(max_pivots, max(1, -(-total // cell))))
-    pivots = _array(pa.array([bytes(r.u) for r in reps.orderBy("h", "u").limit(wanted).select("u").collect()], pa.binary()), dims)
     look = min(wanted, max(1, round(probes * wanted) if isinstance(probes, float) and probes <= 1 else int(probes)))
-    asks = reps
+    pivots = []
+    for t in range(tables):
+        some = reps.orderBy(F.xxhash64("h", F.lit(t)), "u").limit(wanted).select("u").collect()
+        pivots.append(_array(pa.array([bytes(r.u) for r in some], pa.binary()), dims))
+    asks = reps.select("h", "u", F.lit(True).alias("asks"))
     if queries is not None:
         who = queries.select(F.col(id).cast("string").alias("id")).distinct()
-        asks = reps.join(kept.join(who, "id", "left_semi").select("u").distinct(), "u", "left_semi")
-
-    def deal(n: int, role: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                reps_, us = batch.column("rep"), batch.column("u")
-                for at in range(0, batch.num_rows, 1024):
-                    u = us[at : at + 1024]
-                    s = _array(u, dims) @ pivots.T
-                    near = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
-                    take = pa.array(np.repeat(np.arange(len(s)), n))
-                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(np.full(near.size, role, np.int8)), reps_[at : at + 1024].take(take), u.take(take)], names=["cell", "role", "rep", "u"])
-
-        return run
-
-    shape = "cell int, role byte, rep string, u binary"
-    homes = reps.select("rep", "u").mapInArrow(deal(1, 0), shape)
-    seeks = asks.select("rep", "u").mapInArrow(deal(look, 1), shape)
+        few = kept.join(who, "id", "left_semi").select(F.xxhash64("u").alias("h")).distinct().withColumn("asks", F.lit(True))
+        asks = reps.select("h", "u").join(few, "h", "left").select("h", "u", F.coalesce("asks", F.lit(False)).alias("asks"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per cell that a vector lives in (role 0), asks in (1), or both (2)."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = _array(part.column("u"), dims)
+                ask = part.column("asks").to_numpy(zero_copy_only=False)
+                half = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
+                for t, p in enumerate(pivots):
+                    s = x @ p.T
+                    near = np.argpartition(-s, look - 1, axis=1)[:, :look] if look < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
+                    home = s.argmax(axis=1)
+                    r, c = np.nonzero((near != home[:, None]) & ask[:, None])
+                    rows, cells = np.concatenate([np.arange(len(x)), r]), np.concatenate([home, near[r, c]])
+                    role = np.concatenate([np.where(ask, 2, 0), np.ones(len(r))]).astype(np.int8)
+                    yield pa.RecordBatch.from_arrays([pa.array((cells + t * wanted).astype(np.int32)), pa.array(role), part.column("h").take(pa.array(rows)), half.take(pa.array(rows))], names=["cell", "role", "h", "v"])
+
+    dealt = asks.mapInArrow(deal, "cell int, role byte, h bigint, v binary")
     # a crowded cell is met in blocks of objects and of queries; one row a cell, so pivots bound this table
-    sizes = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("objects")).join(seeks.groupBy("cell").agg(F.count(F.lit(1)).alias("seekers")), "cell")
-    sizes = F.broadcast(sizes.select("cell", F.ceil(F.col("objects") / BLOCK).cast("int").alias("a"), F.ceil(F.col("seekers") / (8 * BLOCK)).cast("int").alias("b")))
-    mine = F.pmod(F.xxhash64("rep"), F.col("a")).cast("int")
-    homes = homes.join(sizes, "cell").select("cell", mine.alias("x"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("y"), "role", "rep", "u")
-    mine = F.pmod(F.xxhash64("rep"), F.col("b")).cast("int")
-    seeks = seeks.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("x"), mine.alias("y"), "role", "rep", "u")
-    floor, levels, count = -2.0 if min_cosine is None else min_cosine - 1e-6, _levels(min_cosine), _Lines(dims, lines, threshold, reach, seed)
+    sizes = dealt.groupBy("cell").agg(F.sum((F.col("role") != 1).cast("int")).alias("objects"), F.sum((F.col("role") != 0).cast("int")).alias("seekers")).where("objects > 0 and seekers > 0")
+    sizes = stored(sizes.select("cell", F.ceil(F.col("objects") / BLOCK).cast("int").alias("a"), F.ceil(F.col("seekers") / (8 * BLOCK)).cast("int").alias("b")), "cells")
+    if sizes.where("a > 1 or b > 1").limit(1).count():
+        placed = dealt.join(F.broadcast(sizes), "cell")
+        mine = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        objects = placed.where("role <> 1").select("cell", mine("a").alias("x"), every("b").alias("y"), F.lit(0).cast("byte").alias("role"), "h", "v")
+        seekers = placed.where("role <> 0").select("cell", every("a").alias("x"), mine("b").alias("y"), F.lit(1).cast("byte").alias("role"), "h", "v")
+        dealt = objects.union(seekers)
+    else:
+        dealt = dealt.select("cell", F.lit(0).alias("x"), F.lit(0).alias("y"), "role", "h", "v")
+    slack = 2e-3  # what half precision can cost a cosine
+    floor, levels, count, more = -2.0 if min_cosine is None else min_cosine - slack, _levels(min_cosine), _Lines(dims, lines, threshold, reach, seed), k + 6
 
     def meet(group: pa.Table) -> pa.Table:
         role = group.column("role").to_numpy()
-        rep, u = group.column("rep").combine_chunks(), group.column("u").combine_chunks()
-        o, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        if not len(o) or not len(q):
-            return pa.table({"rep": pa.array([], pa.string()), "other": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
-        x = _array(u, dims)
-        r, b, c = [], [], []
-        for at in range(0, len(o), 30_000):
-            part = o[at : at + 30_000]
-            a_, b_, c_ = count.search(x[q], x[part], k + 1, floor, levels)
-            r.append(q[a_]), b.append(part[b_]), c.append(c_)
+        h = group.column("h").to_numpy()
+        o, q = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        r, b, c = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]) if not len(o) or not len(q) else ([], [], [])
+        if not r:
+            x = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float16).reshape(-1, dims).astype(np.float32)
+            for at in range(0, len(o), 30_000):
+                part = o[at : at + 30_000]
+                a_, b_, c_ = count.search(x[q], x[part], more, floor, levels)
+                r.append(q[a_]), b.append(part[b_]), c.append(c_.astype(np.float64))
         r, b, c = np.concatenate(r), np.concatenate(b), np.concatenate(c)
-        ra, rb = rep.take(pa.array(r)), rep.take(pa.array(b))
-        differ = np.array(ra.to_pylist(), object) != np.array(rb.to_pylist(), object) if len(r) else np.empty(0, bool)
-        exact = np.einsum("ij,ij->i", x[r].astype(np.float64), x[b].astype(np.float64))
-        out = pa.table({"rep": ra, "other": rb, "cosine": pa.array(exact)})
-        return out.filter(pa.array(differ))
-
-    near = homes.union(seeks).groupBy("cell", "x", "y").applyInArrow(meet, "rep string, other string, cosine double")
-    near = near.groupBy("rep").agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "other"))).alias("l"))
-    near = near.select("rep", F.posexplode(F.slice("l", 1, k)).alias("at", "o")).select("rep", F.col("o.other").alias("orep"), (-F.col("o.far")).alias("cosine"))
+        differ = h[r] != h[b]
+        return pa.table({"h": pa.array(h[r][differ], pa.int64()), "other": pa.array(h[b][differ], pa.int64()), "about": pa.array(c[differ], pa.float64())})
+
+    near = dealt.groupBy("cell", "x", "y").applyInArrow(meet, "h bigint, other bigint, about double")
+    near = near.groupBy("h", "other").agg(F.max("about").alias("about"))
+    nth = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("about"), "other"))
+    near = near.withColumn("nth", nth).where(F.col("nth") < more).select("h", "other")
+    ends = near.join(reps.select("h", "rep", "u"), "h").join(reps.select(F.col("h").alias("other"), F.col("rep").alias("orep"), F.col("u").alias("v")), "other")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            exact = np.einsum("ij,ij->i", _array(batch.column("u"), dims).astype(np.float64), _array(batch.column("v"), dims).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("orep"), pa.array(exact)], names=["rep", "orep", "cosine"])
+
+    near = ends.select("rep", "orep", "u", "v").mapInArrow(compare, "rep string, orep string, cosine double")
+    if min_cosine is not None:
+        near = near.where(F.col("cosine") >= min_cosine)
     # from representatives to ids; of equal vectors the k + 1 least ids answer, picked before the shuffle
     ids = kept.join(reps.select("u", "rep", "copies"), "u").select("rep", "id", "copies")
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
@@ -202,8 +223,6 @@ def most_similar(
     asking = ids if queries is None else ids.join(who, "id", "left_semi")
     equal = asking.where("copies > 1").select("rep", "id").join(answers.select("rep", F.col("id").alias("other")), "rep").where("id <> other").select("id", "other", F.lit(1.0).alias("cosine"))
     unlike = asking.select("rep", "id").join(near, "rep").join(answers.select(F.col("rep").alias("orep"), F.col("id").alias("other")), "orep").select("id", "other", "cosine")
-    if min_cosine is not None:
-        unlike = unlike.where(F.col("cosine") >= min_cosine)
     best = equal.union(unlike).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))).alias("l"))
     best = best.select("id", F.posexplode(F.slice("l", 1, k)).alias("at", "o"))
     return best.select("id", F.col("o.other").alias("other"), (-F.col("o.far")).alias("cosine"), (F.col("at") + 1).alias("rank"))

@@ -30,7 +30,7 @@ def test_pairs_above_a_floor_are_all_found(spark, frame):
 
 
 def recall(frame, x, **index):
-    got = {(r.id, r.other) for r in most_similar(frame(rows(x), "id string, embedding array<float>"), cell=64, **index).collect()}
+    got = {(r.id, r.other) for r in most_similar(frame(rows(x), "id string, embedding array<float>"), cell=64, tables=1, **index).collect()}
     b = brute_force(x.astype(float), np.array([f"v{k:04d}" for k in range(len(x))]), np.arange(len(x)), 10)
     want = set(zip(b.id, b.other))
     assert len(got) == len(want)
@@ -55,7 +55,7 @@ def test_edges(spark, frame):
     assert {r.id for r in got} == {f"a{k:02d}" for k in range(30)}
     assert all(sum(r.id == i for r in got) == 10 for i in {r.id for r in got})
     assert all(r.cosine > 0.9999 and r.id != r.other for r in got)
-    few = most_similar(df, k=3, queries=spark.createDataFrame([("b",)], "id string"), probes=1.0).collect()
+    few = most_similar(df, k=3, queries=spark.createDataFrame([("b",)], "id string"), tables=1, probes=1.0).collect()
     assert [r.id for r in few] == ["b"] * 3
     assert most_similar(df.limit(0)).count() == 0
     assert most_similar(frame(bad, "id string, embedding array<float>")).count() == 0
