@@ -29,9 +29,9 @@ SLOP_RULES = [
 ]
 # Patterns, weight and role of each intent, in order.
 INTENTS = [
-    ("review", "sage", 1.2, [r"\breview\b", r"\baudit\b", r"\bcheck\s+(my\s+)?(code|changes|diff|pr|pull\s*request)\b", r"\bcode\s+review\b", r"\blook\s+(at|over)\s+(my\s+)?(changes|code|diff)\b", r"\bfind\s+(bugs|issues|problems)\b"]),
-    ("research", "sage", 1.0, [r"\bresearch\b", r"\bexplain\b", r"\bwhat\s+is\b", r"\bhow\s+does\b", r"\bwhy\s+(does|is|do)\b", r"\bunderstand\b", r"\banalyze\b", r"\binvestigate\b", r"\barchitecture\b", r"\bdesign\s+pattern\b", r"\bcompare\b"]),
-    ("plan", "muse", 1.1, [r"\bplan\b", r"\bdesign\b", r"\bstrateg(y|ize)\b", r"\bpropose\b", r"\boutline\b", r"\barchitect\b", r"\bblueprint\b", r"\broad\s*map\b", r"\bbreak\s+(it\s+)?down\b", r"\bsteps?\s+to\b"]),
+    ("review", "reviewer", 1.2, [r"\breview\b", r"\baudit\b", r"\bcheck\s+(my\s+)?(code|changes|diff|pr|pull\s*request)\b", r"\bcode\s+review\b", r"\blook\s+(at|over)\s+(my\s+)?(changes|code|diff)\b", r"\bfind\s+(bugs|issues|problems)\b"]),
+    ("research", "reviewer", 1.0, [r"\bresearch\b", r"\bexplain\b", r"\bwhat\s+is\b", r"\bhow\s+does\b", r"\bwhy\s+(does|is|do)\b", r"\bunderstand\b", r"\banalyze\b", r"\binvestigate\b", r"\barchitecture\b", r"\bdesign\s+pattern\b", r"\bcompare\b"]),
+    ("plan", "planner", 1.1, [r"\bplan\b", r"\bdesign\b", r"\bstrateg(y|ize)\b", r"\bpropose\b", r"\boutline\b", r"\barchitect\b", r"\bblueprint\b", r"\broad\s*map\b", r"\bbreak\s+(it\s+)?down\b", r"\bsteps?\s+to\b"]),
     ("debug", "builder", 1.15, [r"\bdebug\b", r"\bfix\b", r"\bbug\b", r"\berror\b", r"\bcrash(es|ing)?\b", r"\bfailing\b", r"\bbroken\b", r"\bdoesn'?t\s+work\b", r"\bnot\s+working\b", r"\btroubleshoot\b", r"\bstack\s*trace\b"]),
     ("quick-fix", "builder", 1.3, [r"\btypo\b", r"\brename\b", r"\bdelete\s+(this|that|the)\s+(line|import|variable|function)\b", r"\bremove\s+(unused|dead)\b", r"\bformat(ting)?\b", r"\blint\s*fix\b", r"\bquick\s*fix\b"]),
     ("implement", "builder", 1.0, [r"\bimplement\b", r"\bcreate\b", r"\bbuild\b", r"\badd\b", r"\bwrite\b", r"\brefactor\b", r"\bmodify\b", r"\bupdate\b", r"\bchange\b", r"\bmigrat(e|ion)\b", r"\bsetup\b", r"\bconfigure\b", r"\binstall\b"]),
@@ -192,11 +192,11 @@ def intent(text: Column) -> Column:
     for t, r, _, _ in reversed(INTENTS):
         tag, role = F.when((scores[t] == best) & (best > 0), t).otherwise(tag), F.when((scores[t] == best) & (best > 0), r).otherwise(role)
     kind, scope = conversation_type(text), scope_of(text)
-    research = (kind == "question") & (scope == "architectural") & (role != "sage") & (scores["research"] > 0) & (scores["research"] >= best * 0.6)
+    research = (kind == "question") & (scope == "architectural") & (role != "reviewer") & (scores["research"] > 0) & (scores["research"] >= best * 0.6)
     plan = (kind == "command") & (scope == "architectural") & (tag == "implement")
     return F.struct(
         F.when(research, "research").when(plan, "plan").otherwise(tag).alias("tag"),
-        F.when(research, "sage").when(plan, "muse").otherwise(role).alias("role"),
+        F.when(research, "reviewer").when(plan, "planner").otherwise(role).alias("role"),
         F.when(total > 0, F.when(research, scores["research"]).otherwise(best) / total).otherwise(F.lit(0.0)).alias("confidence"),
     )
 

@@ -33,6 +33,39 @@ SELECT * FROM (PIVOT f ON type USING max(n) AS _n, max(since_ms) AS _since_ms, m
 """
 )
 
+_LEVELS = """CASE WHEN w IN ('debug', 'dbg', 'trace', 'd', '20', '10') THEN 'DEBUG' WHEN w IN ('info', 'notice', 'i', '30') THEN 'INFO' WHEN w IN ('warn', 'warning', 'w', '40') THEN 'WARN'
+  WHEN w IN ('error', 'err', 'fatal', 'critical', 'e', 'f', '50') THEN 'ERROR' ELSE '' END"""
+_US = "epoch_us(CAST({} AS TIMESTAMPTZ)) // 1000"
+_ISO = "replace(replace(t, ',', '.'), 'T', ' ')"
+
+P6_FOUND = (
+    r"""
+WITH l AS (SELECT DISTINCT line_id, log_name, line_no, regexp_replace(regexp_replace(message, chr(27) || '\[[0-9;?]*[A-Za-z]', '', 'g'), '\r+$', '') AS m FROM forge_log),
+b AS (SELECT *, regexp_replace(m, '"(?:[^"\\]|\\.)*"', '""', 'g') AS q FROM l),
+k AS (SELECT *, CASE WHEN regexp_matches(m, '^\d{9,10}\.\d+ [A-Z]/\w+\([ \d]+\): ') THEN 1 WHEN regexp_matches(m, '^\d+/\w+/\d+:\d+:\d+:\d+ [+-]\d{4} \w+ - ') THEN 2
+  WHEN regexp_matches(m, '^\[\d+-\d+-\d+ \d+:\d+:\d+,\d+\] \[\w+\] \w+: ') THEN 3 WHEN regexp_matches(m, '^\d+-\d+-\d+T\d+:\d+:\d+\.\d+Z \w+ \[\w+\] ') THEN 4
+  WHEN regexp_matches(m, '^\d+-\d+-\d+T\d+:\d+:\d+\.\d+[+-]\d\d:?\d\d \w+ +\w+ \| ') THEN 5 WHEN regexp_matches(m, '^[A-Z]\d{4} \d+:\d+:\d+\.\d+ +\d+ \w+\.\w+:\d+\] ') THEN 6
+  WHEN regexp_matches(m, '^\w+=\d+-\d+-\d+T\S+Z ') THEN 7 WHEN regexp_matches(m, '^\d+-\d+-\d+ \d+:\d+:\d+,\d+ - \w+\.\w+ - \w+ - ') THEN 8
+  WHEN regexp_matches(m, '^[A-Z][a-z]{2} +\d+ \d+:\d+:\d+ \S+ \S+\[\d+\]: <\w+> ') THEN 9 WHEN regexp_matches(m, '^\{"') AND regexp_matches(m, '"(time|ts)" ?: ?"?[0-9]') THEN 10
+  WHEN regexp_matches(m, '^\d+-\d+-\d+ \d+:\d+:\d+\.\d+ \w+ +\w+ ') THEN 11 END AS k FROM b),
+f AS (SELECT *, CASE k WHEN 1 THEN regexp_extract(m, '^([0-9.]+)', 1) WHEN 2 THEN regexp_extract(m, '^(\S+ \S+)', 1) WHEN 3 THEN regexp_extract(m, '^\[([^\]]+)\]', 1) WHEN 6 THEN regexp_extract(m, '^.(\d{4} [0-9:.]+)', 1)
+   WHEN 7 THEN regexp_extract(m, '^\w+=(\S+)', 1) WHEN 8 THEN regexp_extract(m, '^(\S+ \S+)', 1) WHEN 9 THEN regexp_replace(regexp_extract(m, '^(\w+ +\d+ [0-9:]+)', 1), ' +', ' ', 'g') WHEN 10 THEN regexp_extract(m, '"(?:time|ts)" ?: ?"?([0-9][^",}]*)', 1)
+   WHEN 11 THEN regexp_extract(m, '^(\S+ \S+)', 1) ELSE regexp_replace(regexp_extract(m, '^(\S+)', 1), '([+-]\d\d)(\d\d)$', '\1:\2') END AS t,
+  lower(CASE k WHEN 1 THEN regexp_extract(m, '^\S+ ([A-Z])/', 1) WHEN 2 THEN '' WHEN 3 THEN regexp_extract(m, '\] \[(\w+)\]', 1) WHEN 6 THEN left(m, 1) WHEN 7 THEN regexp_extract(q, ' level=(\w+)', 1) WHEN 8 THEN regexp_extract(m, ' - \S+ - (\w+) - ', 1)
+   WHEN 9 THEN regexp_extract(m, ': <(\w+)>', 1) WHEN 10 THEN regexp_extract(m, '"level" ?: ?"?(\w+)', 1) WHEN 11 THEN regexp_extract(m, '^\S+ \S+ (\w+)', 1) ELSE regexp_extract(m, '^\S+ (\w+)', 1) END) AS w,
+  lower(CASE k WHEN 1 THEN regexp_extract(m, '/(\w+)\(', 1) WHEN 2 THEN regexp_extract(m, '^\S+ \S+ (\w+)', 1) WHEN 3 THEN regexp_extract(m, '\] (\w+): ', 1) WHEN 4 THEN regexp_extract(m, '\[(\w+)\]', 1) WHEN 5 THEN regexp_extract(m, '^\S+ \w+ +(\w+)', 1) WHEN 6 THEN regexp_extract(m, ' +\d+ (\w+)\.\w+:\d+\]', 1)
+   WHEN 7 THEN regexp_extract(q, ' component=(\S+)', 1) WHEN 8 THEN regexp_extract(m, ' - \w+\.(\w+) - ', 1) WHEN 9 THEN regexp_extract(m, '-(\w+)\[\d+\]: ', 1) WHEN 10 THEN regexp_extract(m, '"(?:component|logger)" ?: ?"(?:\w+\.)*(\w+)"', 1) WHEN 11 THEN regexp_extract(m, '^\S+ \S+ \w+ +(\w+)', 1) END) AS component FROM k),
+s AS (SELECT line_id, log_name, line_no, component, """
+    + _LEVELS
+    + " AS level, CASE WHEN k = 1 THEN CAST(floor(CAST(t AS DECIMAL(20, 3)) * 1000) AS BIGINT) WHEN k = 2 THEN epoch_us(strptime(t, '%d/%b/%Y:%H:%M:%S %z')) // 1000 WHEN k = 6 THEN epoch_us(strptime('2026' || left(t, 17), '%Y%m%d %H:%M:%S.%g')) // 1000"
+    + " WHEN k = 9 THEN epoch_us(strptime('2026 ' || t, '%Y %b %d %H:%M:%S')) // 1000 WHEN k = 10 AND regexp_matches(t, '^[0-9]+$') THEN CAST(t AS BIGINT) WHEN k IS NOT NULL THEN "
+    + _US.format(f"CASE WHEN regexp_matches(t, '(Z|[+-]\\d\\d:\\d\\d)$') THEN {_ISO} ELSE {_ISO} || 'Z' END")
+    + """ END AS ts_ms FROM f),
+n AS (SELECT *, max(CASE WHEN ts_ms IS NOT NULL THEN line_no END) OVER (PARTITION BY log_name ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS start FROM s)
+SELECT min_by(line_id, line_no) AS first_line_id, max_by(line_id, line_no) AS last_line_id, max(ts_ms) AS ts_ms, min_by(level, line_no) AS level, min_by(component, line_no) AS component FROM n WHERE start IS NOT NULL GROUP BY log_name, start
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"cochange_parts": COCHANGE_PARTS, "p3_features": P3_FEATURES, "p3_long": P3_LONG} | text.SQL | graph.SQL | data.SQL
+    return {"cochange_parts": COCHANGE_PARTS, "p3_features": P3_FEATURES, "p3_long": P3_LONG, "p6_found": P6_FOUND} | text.SQL | graph.SQL | data.SQL

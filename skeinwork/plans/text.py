@@ -117,7 +117,7 @@ SELECT doc_id, category, count(*) AS lines FROM c WHERE category IS NOT NULL GRO
 
 def intents(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    i = table(spark, d, "documents").where("text is not null").select("doc_id", T.intent(t).alias("i"), T.complexity(t).alias("complexity"), T.conversation_type(t).alias("kind"), T.scope_of(t).alias("scope"), T.gate_passes(t, F.lit("sage")).alias("passes"))
+    i = table(spark, d, "documents").where("text is not null").select("doc_id", T.intent(t).alias("i"), T.complexity(t).alias("complexity"), T.conversation_type(t).alias("kind"), T.scope_of(t).alias("scope"), T.gate_passes(t, F.lit("reviewer")).alias("passes"))
     return i.select("doc_id", "i.tag", "i.role", F.round("i.confidence", 9).alias("confidence"), "complexity", "kind", "scope", "passes")
 
 
@@ -135,10 +135,10 @@ b AS (SELECT *, {best} AS best, {total} AS total FROM a),
 c AS (SELECT *, {tag} AS tag0, {role} AS role0, CASE WHEN asks AND tells THEN 'mixed' WHEN asks THEN 'question' ELSE 'command' END AS kind,
    CASE WHEN arch THEN 'architectural' WHEN many OR refs > 2 THEN 'multi-file' ELSE 'single-file' END AS scope,
    CASE WHEN arch OR words > 150 THEN 'architectural' WHEN many OR refs > 3 OR words > 80 THEN 'complex' WHEN refs > 1 OR words > 30 THEN 'moderate' WHEN words > 10 THEN 'simple' ELSE 'trivial' END AS complexity FROM b),
-e AS (SELECT *, kind = 'question' AND scope = 'architectural' AND role0 <> 'sage' AND s1 > 0 AND s1 >= best * 0.6 AS re, kind = 'command' AND scope = 'architectural' AND tag0 = 'implement' AS pl FROM c),
-g AS (SELECT doc_id, CASE WHEN re THEN 'research' WHEN pl THEN 'plan' ELSE tag0 END AS tag, CASE WHEN re THEN 'sage' WHEN pl THEN 'muse' ELSE role0 END AS role,
+e AS (SELECT *, kind = 'question' AND scope = 'architectural' AND role0 <> 'reviewer' AND s1 > 0 AND s1 >= best * 0.6 AS re, kind = 'command' AND scope = 'architectural' AND tag0 = 'implement' AS pl FROM c),
+g AS (SELECT doc_id, CASE WHEN re THEN 'research' WHEN pl THEN 'plan' ELSE tag0 END AS tag, CASE WHEN re THEN 'reviewer' WHEN pl THEN 'planner' ELSE role0 END AS role,
    CASE WHEN total > 0 THEN CAST(CASE WHEN re THEN s1 ELSE best END AS DOUBLE) / total ELSE 0 END AS conf, complexity, kind, scope FROM e)
-SELECT doc_id, tag, role, round(conf, 9) AS confidence, complexity, kind, scope, conf < 0.5 OR role = 'sage' OR (complexity = 'trivial' AND tag IN ('quick-fix', 'unknown')) AS passes FROM g
+SELECT doc_id, tag, role, round(conf, 9) AS confidence, complexity, kind, scope, conf < 0.5 OR role = 'reviewer' OR (complexity = 'trivial' AND tag IN ('quick-fix', 'unknown')) AS passes FROM g
 """
 
 
