@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.runtime import stored
+from skeinwork.runtime import bounded, stored
 
 #: Vectors of a cell that one task compares at once; larger cells are met in blocks.
 BLOCK = 4096
@@ -135,9 +135,11 @@ def most_similar(
     """
     rows = vectors.select(F.col(id).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where("id is not null and vec is not null")
     unit = rows.mapInArrow(lambda it: _unit(it, dims), "id string, u binary")
-    kept = stored(unit.distinct(), "unit")
-    same = kept.groupBy("u").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = stored(same.withColumn("h", F.xxhash64("u")), "reps")
+    # vectors go by their hash; they are shuffled once, to become one row each
+    found = stored(unit.withColumn("h", F.xxhash64("u")), "unit")
+    kept = found.select("id", "h").distinct()
+    same = kept.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = stored(found.groupBy("h").agg(F.first("u").alias("u")).join(same, "h"), "reps")
     total = reps.count()
     empty = "id string, other string, cosine double, rank int"
     if total == 0:
@@ -151,7 +153,7 @@ def most_similar(
     asks = reps.select("h", "u", F.lit(True).alias("asks"))
     if queries is not None:
         who = queries.select(F.col(id).cast("string").alias("id")).distinct()
-        few = kept.join(who, "id", "left_semi").select(F.xxhash64("u").alias("h")).distinct().withColumn("asks", F.lit(True))
+        few = kept.join(who, "id", "left_semi").select("h").distinct().withColumn("asks", F.lit(True))
         asks = reps.select("h", "u").join(few, "h", "left").select("h", "u", F.coalesce("asks", F.lit(False)).alias("asks"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +207,10 @@ def most_similar(
     near = dealt.groupBy("cell", "x", "y").applyInArrow(meet, "h bigint, other bigint, about double")
     near = near.groupBy("h", "other").agg(F.max("about").alias("about"))
     nth = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("about"), "other"))
-    near = near.withColumn("nth", nth).where(F.col("nth") < more).select("h", "other")
-    ends = near.join(reps.select("h", "rep", "u"), "h").join(reps.select(F.col("h").alias("other"), F.col("rep").alias("orep"), F.col("u").alias("v")), "other")
+    near = stored(near.withColumn("nth", nth).where(F.col("nth") < more).select("h", "other"), "near")
+    few = bounded(near)
+    left = (near.hint("broadcast") if few else near).join(reps.select("h", "rep", "u"), "h")
+    ends = (left.hint("broadcast") if few else left).join(reps.select(F.col("h").alias("other"), F.col("rep").alias("orep"), F.col("u").alias("v")), "other")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +221,7 @@ def most_similar(
     if min_cosine is not None:
         near = near.where(F.col("cosine") >= min_cosine)
     # from representatives to ids; of equal vectors the k + 1 least ids answer, picked before the shuffle
-    ids = kept.join(reps.select("u", "rep", "copies"), "u").select("rep", "id", "copies")
+    ids = kept.join(reps.select("h", "rep", "copies"), "h").select("rep", "id", "copies")
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
     answers = ids.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
     asking = ids if queries is None else ids.join(who, "id", "left_semi")
