@@ -216,7 +216,10 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     if short:
         seeds = texts.withColumn("h", F.xxhash64("id")).orderBy("h").limit(MOST_SEEDS).select(F.lit(0).alias("level"), "text")
         counts = counts.union(seeds.mapInArrow(_counted, "level int, token string, n bigint").where(F.col("level").isin(short)))
-    got = counts.groupBy("level", "token").agg(F.sum("n").cast("double").alias("n")).collect()
+    counts = stored(counts.groupBy("level", "token").agg(F.sum("n").cast("double").alias("n")), "counts")
+    # no more than the tokens that are held come to the driver; '' counts documents
+    often = counts.groupBy("token").agg(F.sum("n").alias("total")).orderBy(F.expr("token <> ''"), F.desc("total"), "token").limit(MOST_TOKENS + 1)
+    got = counts.join(F.broadcast(often.select("token")), "token").collect()
     return fit([(r.level, r.token, r.n) for r in got if r.token], {r.level: r.n for r in got if not r.token})
 
 

@@ -21,6 +21,24 @@ m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g
 SELECT id_a, id_b FROM m JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.7 * (x.n + y.n - k)
 """
 
+P7_FOUND = r"""
+WITH f AS (SELECT id, max(path) AS path, max(language) AS language, max(line_count) AS line_count, max(symbol_count) AS symbol_count FROM files WHERE id IS NOT NULL GROUP BY id),
+p AS (SELECT *, regexp_replace(regexp_replace(path, '[\\/]+', '/', 'g'), '^(\./)+', '') AS plain FROM f), q AS (SELECT *, lower(plain) AS low, split_part(plain, '/', -1) AS name FROM p),
+t AS (SELECT file_id, string_split(content, chr(10)) AS l, content FROM source_texts WHERE content <> ''),
+h AS (SELECT file_id, len(list_filter(list_filter(l, lambda x: trim(x, chr(13) || ' ' || chr(9)) <> '')[1:5], lambda x: regexp_matches(x, '^\s*(//|/\*|\*|#|--|;)') AND
+   regexp_matches(x, '(?i)code generated by|do not edit|@generated\b|auto-?generated|automatically generated|generated (file|code|from|by)\b|(produced|created|written) by a tool|edits (are|will be) lost'))) > 0 AS tool,
+   list_max(list_transform(l, lambda x: length(x))) >= 1000 AND length(content) / len(l) >= 200 AS packed FROM t)
+SELECT id AS file_id FROM q LEFT JOIN h ON h.file_id = id
+WHERE regexp_matches(low, '(^|/)(vendor|vendored|third[_-]?party|3rd[_-]?party|external|externals|node_modules|bower_components|deps|godeps|jspm_packages|site-packages|pods|carthage)/')
+ OR EXISTS (SELECT 1 FROM vendor_catalog v WHERE v.file_name = name AND v.line_count = q.line_count AND (v.language = q.language OR q.language = 'unknown'))
+ OR regexp_matches(low, '(^|/)(__generated__|generated|autogen|auto-generated|autogenerated|codegen-out|gen-out)/')
+ OR regexp_matches(low, '(_pb2(_grpc)?\.pyi?|\.pb(\.gw)?\.(go|cc|h|rb|swift|dart|ts|js)|\.(g|gen|generated|designer|freezed)\.[a-z]+|[._-]gen\.[a-z]+|[._-]generated\.[a-z]+)$|(^|/)zz_generated\.[^/]*$|/migrations/\d+_auto_\d[^/]*$')
+ OR regexp_matches(plain, '(^|/)Generated[A-Z_][^/]*\.[a-z]+$') OR coalesce(tool, false)
+ OR regexp_matches(low, '([._-]min\.(m?js|cjs|css)|\.bundle\.(m?js|cjs|css)|\.[0-9a-f]{8,20}\.(m?js|css))$|(^|/)dist/chunk-[0-9a-f]{6,20}\.m?js$')
+ OR (regexp_matches(low, '\.(m?js|cjs|css)$') AND (symbol_count >= 50 AND symbol_count >= 16 * line_count OR coalesce(packed, false)))
+ OR (regexp_matches(low, '\.(ts|tsx|mts|cts|js|jsx|mjs|cjs|py|pyi|go|rs|rb|java|kt|c|cc|cpp|h|hpp|cs|php|swift|scala)$') AND line_count >= 5000 AND symbol_count <= 3)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p7_found": P7_FOUND}
