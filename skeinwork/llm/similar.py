@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.runtime import bounded, stored
+from skeinwork.runtime import hinted, stored
 
 #: Vectors of a cell that one task compares at once; larger cells are met in blocks.
 BLOCK = 4096
@@ -208,9 +208,11 @@ def most_similar(
     near = near.groupBy("h", "other").agg(F.max("about").alias("about"))
     nth = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("about"), "other"))
     near = stored(near.withColumn("nth", nth).where(F.col("nth") < more).select("h", "other"), "near")
-    few = bounded(near)
-    left = (near.hint("broadcast") if few else near).join(reps.select("h", "rep", "u"), "h")
-    ends = (left.hint("broadcast") if few else left).join(reps.select(F.col("h").alias("other"), F.col("rep").alias("orep"), F.col("u").alias("v")), "other")
+    # the pairs, two numbers each, go to the vectors of either end; what they meet is joined again
+    pairs = hinted(near)
+    left = pairs.join(reps.select("h", "rep", "u"), "h")
+    right = pairs.join(reps.select(F.col("h").alias("other"), F.col("rep").alias("orep"), F.col("u").alias("v")), "other")
+    ends = left.join(right.select("h", "other", "orep", "v"), ["h", "other"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
