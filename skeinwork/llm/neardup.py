@@ -164,8 +164,8 @@ class NearDuplicates:
     """Classes of equal texts and the links between similar ones.
 
     ``texts`` needs the named columns only; others are left aside, whatever their names.
-    Texts that are null, or have fewer than ``min_words`` words, have no class. A row
-    repeated under its id counts once. ``least`` is the similarity of the sets of distinct
+    Texts that are null, or have fewer than ``min_words`` words, have no class, nor have rows
+    without id. A row repeated under its id counts once. ``least`` is the similarity of the sets of distinct
     word runs from which two classes are linked (inclusive).
 
     ``members``: id, place, cls, n (the class is cls with n, the number of its word runs).
@@ -177,7 +177,8 @@ class NearDuplicates:
             raise ValueError("least must be in (0, 1], run and groups positive, dims at least 2")
         where = F.lit("") if place is None else F.col(place) if isinstance(place, str) else place
         rows = texts.select(F.col(id).cast("string").alias("id"), where.cast("string").alias("place"), F.col(text).alias("text"))
-        sketches = rows.where(F.col("text").isNotNull()).mapInArrow(_sketcher(run, min_words, groups, dims), "id string, place string, cls bigint, n int, keys array<bigint>")
+        rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+        sketches = rows.mapInArrow(_sketcher(run, min_words, groups, dims), "id string, place string, cls bigint, n int, keys array<bigint>")
         sketches = stored(sketches, "sketches")
         self.members = sketches.select("id", "place", "cls", "n").distinct()
         classes = sketches.groupBy("cls", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))

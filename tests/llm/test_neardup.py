@@ -72,7 +72,7 @@ def test_edges_and_groups(spark, frame):
     d = NearDuplicates(frame(rows, SCHEMA), place="file_path", run=3, least=0.7, min_words=20)
     assert {(r.id_a, r.id_b) for r in d.pairs().collect()} == {("a", "b"), ("b", "c"), ("a", "p"), ("b", "p"), ("c", "p")}
     g = {r.id: r for r in d.groups().collect()}
-    assert set(g) == {"a", "b", "c", "p", None} and len({r.group for r in g.values()}) == 1
+    assert set(g) == {"a", "b", "c", "p"} and len({r.group for r in g.values()}) == 1
     assert g["p"].cls != g["a"].cls and g["a"].links == 1
     empty = NearDuplicates(frame([], SCHEMA), place="file_path")
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
