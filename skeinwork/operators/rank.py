@@ -29,8 +29,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
     base = (1 - damping) / n
     ranks = v.withColumn("rank", F.lit(1.0 / n))
     for k in range(1, rounds + 1):
-        got = share.join(ranks, share.src == ranks.node).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = v.join(got, v.node == got.dst, "left").select("node", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        got = share.join(ranks, share.src == ranks.node).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("x"))
+        # every node takes part with nothing, so that no second join is needed for those without edges
+        ranks = got.union(v.select("node", F.lit(0.0))).groupBy("node").agg((F.lit(base) + damping * F.sum("x")).alias("rank"))
         if k % cut_every == 0:
             ranks = stored(ranks, "ranks")
     return ranks
