@@ -52,12 +52,26 @@ ERROR_KINDS = [
 
 
 def ascii_pattern(pattern: str) -> str:
-    """``\\b`` between ASCII word characters only, whatever the Java version's notion of it."""
-    return pattern.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+    """``\\b`` between ASCII word characters only, whatever the Java version's notion of it. In the patterns
+    here it opens a word at their start, or follows one; before another sign it asks for a word to end there."""
+    word = "[A-Za-z0-9_]"
 
+    def edge(m: re.Match) -> str:
+        if m.start():
+            return f"(?!{word})"
+        return f"(?<!{word})" if re.match(r"[\w(]", pattern[m.end() :]) else f"(?<={word})"
 
-def matches(text: Column, pattern: str, any_case: bool = True) -> Column:
-    return text.rlike(("(?i)" if any_case else "") + ascii_pattern(pattern))
+    return re.sub(r"\\b", edge, pattern)
+
+
+def matches(text: Column, pattern: str, any_case: bool = True, low: Column | None = None) -> Column:
+    """Whether a pattern is found. With ``low``, the text in lower case, a pattern that opens with a
+    plain word is tried only where that word occurs at all, which is much cheaper to see."""
+    found = text.rlike(("(?i)" if any_case else "") + ascii_pattern(pattern))
+    if low is not None and (m := re.match(r"\\b([a-z]{3,})([?*{]?)", pattern)):
+        word = m[1][:-1] if m[2] else m[1]
+        return low.contains(word) & found
+    return found
 
 
 def _clipped(lines: Column, most: int) -> Column:
@@ -186,25 +200,33 @@ def scope_of(text: Column) -> Column:
 
 def intent(text: Column) -> Column:
     """Struct of tag, role and confidence (the share of the best score in all); the first of equals wins."""
-    scores = {tag: sum((matches(text, p).cast("int") for p in patterns), F.lit(0)) * weight for tag, _, weight, patterns in INTENTS}
-    total, best = sum(scores.values(), F.lit(0.0)), F.greatest(*scores.values())
+    # bound once each, as an array of one, so that nothing is worked out again where it is used again
+    def found(t: Column) -> Column:
+        hits = lambda patterns: sum((matches(t["text"], p, low=t["low"]).cast("int") for p in patterns), F.lit(0))
+        return F.struct(*((hits(patterns) * weight).alias(tag) for tag, _, weight, patterns in INTENTS), conversation_type(t["text"]).alias("kind"), scope_of(t["text"]).alias("scope"))
+
+    both = F.array(F.struct(text.alias("text"), F.lower(text).alias("low")))
+    return F.transform(F.transform(both, found), _judged)[0]
+
+
+def _judged(s: Column) -> Column:
+    scores = [s[tag] for tag, *_ in INTENTS]
+    total, best = sum(scores, F.lit(0.0)), F.greatest(*scores)
     tag, role = F.lit("unknown"), F.lit("builder")
     for t, r, _, _ in reversed(INTENTS):
-        tag, role = F.when((scores[t] == best) & (best > 0), t).otherwise(tag), F.when((scores[t] == best) & (best > 0), r).otherwise(role)
-    kind, scope = conversation_type(text), scope_of(text)
-    research = (kind == "question") & (scope == "architectural") & (role != "reviewer") & (scores["research"] > 0) & (scores["research"] >= best * 0.6)
-    plan = (kind == "command") & (scope == "architectural") & (tag == "implement")
+        tag, role = F.when((s[t] == best) & (best > 0), t).otherwise(tag), F.when((s[t] == best) & (best > 0), r).otherwise(role)
+    research = (s["kind"] == "question") & (s["scope"] == "architectural") & (role != "reviewer") & (s["research"] > 0) & (s["research"] >= best * 0.6)
+    plan = (s["kind"] == "command") & (s["scope"] == "architectural") & (tag == "implement")
     return F.struct(
         F.when(research, "research").when(plan, "plan").otherwise(tag).alias("tag"),
         F.when(research, "reviewer").when(plan, "planner").otherwise(role).alias("role"),
-        F.when(total > 0, F.when(research, scores["research"]).otherwise(best) / total).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(total > 0, F.when(research, s["research"]).otherwise(best) / total).otherwise(F.lit(0.0)).alias("confidence"),
     )
 
 
-def gate_passes(text: Column, role: Column) -> Column:
-    """Whether a message may stay with ``role``: unsure, its own, or a trivial quick fix."""
-    i = intent(text)
-    return (i["confidence"] < 0.5) | (i["role"] == role) | ((complexity(text) == "trivial") & i["tag"].isin("quick-fix", "unknown"))
+def gate_passes(judged: Column, complexity_: Column, role: Column) -> Column:
+    """Whether a message of an intent and a complexity may stay with ``role``: unsure, its own, or a trivial quick fix."""
+    return (judged["confidence"] < 0.5) | (judged["role"] == role) | ((complexity_ == "trivial") & judged["tag"].isin("quick-fix", "unknown"))
 
 
 def base_command(command: Column) -> Column:
