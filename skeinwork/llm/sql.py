@@ -39,6 +39,8 @@ WHERE regexp_matches(low, '(^|/)(vendor|vendored|third[_-]?party|3rd[_-]?party|e
  OR (regexp_matches(low, '\.(ts|tsx|mts|cts|js|jsx|mjs|cjs|py|pyi|go|rs|rb|java|kt|c|cc|cpp|h|hpp|cs|php|swift|scala)$') AND line_count >= 5000 AND symbol_count <= 3)
 """
 
+P7_HANDWRITTEN = f"SELECT id AS file_id, max(path) AS path FROM files WHERE id IS NOT NULL AND id NOT IN ({P7_FOUND}) GROUP BY id"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p7_found": P7_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p7_found": P7_FOUND, "p7_handwritten": P7_HANDWRITTEN}
