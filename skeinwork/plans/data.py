@@ -14,7 +14,7 @@ from skeinwork.operators import sessions as S
 from skeinwork.operators import telemetry as L
 from skeinwork.operators import versioning as H
 from skeinwork.operators.cooccurrence import cooccurring
-from skeinwork.plans.graph import RARE, rare_flow
+from skeinwork.plans.graph import RARE, WHOLE, part_flow, rare_flow
 from skeinwork.sources import readers as D
 from skeinwork.sources.tables import table
 
@@ -415,23 +415,32 @@ def part_communities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def part_bridges(spark: SparkSession, d: str) -> DataFrame:
-    return K.bridges(rare_flow(spark, d).select("src", "dst", F.col("n").cast("double").alias("weight")))
+    return K.bridges(part_flow(spark, d).select("src", "dst", F.col("n").cast("double").alias("weight")))
 
 
-def part_surprises(spark: SparkSession, d: str) -> DataFrame:
-    e = rare_flow(spark, d).select("src", "dst", F.col("n").cast("double").alias("weight"))
+def _surprises(flow: DataFrame) -> DataFrame:
+    e = flow.select("src", "dst", F.col("n").cast("double").alias("weight"))
     given = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("community", F.col("node") % 3)
     return K.surprises(e, given)
 
 
+def part_surprises(spark: SparkSession, d: str) -> DataFrame:
+    return _surprises(rare_flow(spark, d))
+
+
+def part_surprises_all(spark: SparkSession, d: str) -> DataFrame:
+    return _surprises(part_flow(spark, d))
+
+
 PART_SURPRISES = f"""
 WITH {RARE}, k AS (SELECT *, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS c FROM rare), cut AS (SELECT n FROM k WHERE k = greatest(0, CAST(floor(c * 0.25) AS BIGINT) - 1))
 SELECT src, dst, CAST(n AS DOUBLE) AS weight FROM rare WHERE n <= (SELECT n FROM cut) AND src % 3 <> dst % 3
 """
+PART_SURPRISES_ALL = PART_SURPRISES.replace(RARE, WHOLE)
 
 
-def graph_texts(spark: SparkSession, d: str) -> DataFrame:
-    e = rare_flow(spark, d).select("src", "dst", F.col("n").alias("weight"))
+def _texts(spark: SparkSession, d: str, flow: DataFrame) -> DataFrame:
+    e = flow.select("src", "dst", F.col("n").alias("weight"))
     n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
     parts = {"graphml": X.graphml(n, e), "mermaid": X.mermaid(n, e), "cypher": X.cypher(n, e, "Part", "NEXT")}
     out = None
@@ -441,6 +450,14 @@ def graph_texts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def graph_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, rare_flow(spark, d))
+
+
+def graph_texts_all(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, part_flow(spark, d))
+
+
 GRAPH_TEXTS = f"""
 WITH {RARE}
 SELECT 'graphml' AS form, '    <node id="' || p_partkey || '"><data key="label">' || replace(replace(replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</data></node>' AS line FROM part
@@ -450,6 +467,7 @@ UNION ALL SELECT 'mermaid', '  ' || src || CASE WHEN n = 1 THEN ' --> ' ELSE ' -
 UNION ALL SELECT 'cypher', 'MERGE (:Part {{id: ''' || p_partkey || ''', label: ''' || replace(replace(p_name, '\\', '\\\\'), '''', '\\''') || '''}});' FROM part
 UNION ALL SELECT 'cypher', 'MATCH (a:Part {{id: ''' || src || '''}}), (b:Part {{id: ''' || dst || '''}}) MERGE (a)-[:NEXT {{weight: ' || n || '}}]->(b);' FROM rare
 """
+GRAPH_TEXTS_ALL = GRAPH_TEXTS.replace(RARE, WHOLE)
 
 
 def weekly_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -460,6 +478,6 @@ def weekly_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 WEEKLY_ROLLUP = "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ROLLUP (1, 2)"
 
-_ALL = (kv_latest, kv_prefix, kv_purged, plan_headings, plan_edits, archive_previews, tasks_admitted, telemetry_stats, telemetry_last, telemetry_outcomes, telemetry_kept, file_hashes, version_diff, folder_roots, folders_skipped, document_copies, code_tokens, code_fragments, code_near_copies, shapes_shared, chunked_lines, chunks_split, chunks_rolled, nearest_vectors, word_search, fused_search, repeated_calls, running_budgets, user_quality, fill_marks, event_runs, event_bursts, session_sums, file_matches, extensions, part_communities, part_bridges, part_surprises, graph_texts, weekly_rollup)
+_ALL = (kv_latest, kv_prefix, kv_purged, plan_headings, plan_edits, archive_previews, tasks_admitted, telemetry_stats, telemetry_last, telemetry_outcomes, telemetry_kept, file_hashes, version_diff, folder_roots, folders_skipped, document_copies, code_tokens, code_fragments, code_near_copies, shapes_shared, chunked_lines, chunks_split, chunks_rolled, nearest_vectors, word_search, fused_search, repeated_calls, running_budgets, user_quality, fill_marks, event_runs, event_bursts, session_sums, file_matches, extensions, part_communities, part_bridges, part_surprises, part_surprises_all, graph_texts, graph_texts_all, weekly_rollup)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

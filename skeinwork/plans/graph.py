@@ -70,18 +70,29 @@ SELECT node, 1 AS depth FROM d1 UNION ALL SELECT node, 2 FROM d2
 
 
 def rare_flow(spark: SparkSession, d: str) -> DataFrame:
-    """The flow between parts of one brand: sparse enough for chains and small cycles."""
+    """The flow between parts of one brand, a small part of all edges: sparse enough for the SQL of an all-pairs closure.
+    The queries of the whole flow are those named ``..._all``."""
     p = table(spark, d, "part").select("p_partkey", "p_brand")
     e = part_flow(spark, d).join(p.select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("a")), "src").join(p.select(F.col("p_partkey").alias("dst"), F.col("p_brand").alias("b")), "dst")
     return e.where("a = b").select("src", "dst", "n")
 
 
 RARE = f"{FLOW}, rare AS (SELECT src, dst, n FROM flow JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand = b.p_brand)"
+#: The whole flow, under the name by which the SQL of the queries knows its edges.
+WHOLE = f"{FLOW}, rare AS (SELECT src, dst, n FROM flow)"
 
 
-def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+def _radius(spark: SparkSession, d: str, e: DataFrame) -> DataFrame:
     seeds = table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10).select(F.col("p_partkey").alias("node"))
-    return dependencies_of(rare_flow(spark, d), seeds)
+    return dependencies_of(e, seeds)
+
+
+def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    return _radius(spark, d, rare_flow(spark, d))
+
+
+def blast_radius_all(spark: SparkSession, d: str) -> DataFrame:
+    return _radius(spark, d, part_flow(spark, d))
 
 
 BLAST_RADIUS = f"""
@@ -89,6 +100,7 @@ WITH RECURSIVE {RARE}, seeds AS (SELECT p_partkey AS node FROM part ORDER BY p_r
 walk AS (SELECT node AS seed, node FROM seeds UNION SELECT seed, dst FROM walk JOIN rare ON src = node)
 SELECT seed AS node, count(*) - 1 AS radius FROM walk GROUP BY seed
 """
+BLAST_RADIUS_ALL = BLAST_RADIUS.replace(RARE, WHOLE)
 
 
 def part_walk(spark: SparkSession, d: str) -> DataFrame:
@@ -108,12 +120,23 @@ SELECT node, depth, cost, nth, tokens, (SELECT count(*) FROM n) > (SELECT count(
 """
 
 
-def flows_of_parts(spark: SparkSession, d: str) -> DataFrame:
+def _entries(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     kind = F.when(F.col("p_size") < 10, "main").when(F.col("p_size") < 20, "handler").when(F.col("p_size") < 30, "test").otherwise("export")
-    c = p.select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), kind.alias("kind"), F.col("p_retailprice").alias("weight"))
-    e = rare_flow(spark, d).withColumn("confidence", F.when(F.col("n") > 1, 1.0).otherwise(0.7))
-    return execution_flows(c, e, 3, 5)
+    return p.select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), kind.alias("kind"), F.col("p_retailprice").alias("weight"))
+
+
+def _confident(e: DataFrame) -> DataFrame:
+    return e.withColumn("confidence", F.when(F.col("n") > 1, 1.0).otherwise(0.7))
+
+
+def flows_of_parts(spark: SparkSession, d: str) -> DataFrame:
+    return execution_flows(_entries(spark, d), _confident(rare_flow(spark, d)), 3, 5)
+
+
+def flows_of_parts_all(spark: SparkSession, d: str) -> DataFrame:
+    """As many flows, and as deep, as the operator gives by itself."""
+    return execution_flows(_entries(spark, d), _confident(part_flow(spark, d)))
 
 
 FLOWS_OF_PARTS = f"""
@@ -127,10 +150,30 @@ a3 AS (SELECT DISTINCT entry, dst AS node FROM a2 JOIN e ON src = node EXCEPT FR
 s AS (SELECT *, 0 AS depth FROM a0 UNION ALL SELECT *, 1 FROM a1 UNION ALL SELECT *, 2 FROM a2 UNION ALL SELECT *, 3 FROM a3)
 SELECT s.entry, kind, weight, node, depth, max(depth) OVER (PARTITION BY s.entry) >= 3 AS truncated FROM s JOIN t ON t.entry = s.entry
 """
+FLOWS_OF_PARTS_ALL = f"""
+WITH {FLOW}, e AS (SELECT src, dst FROM flow WHERE src <> dst),
+k AS (SELECT p_partkey AS entry, CASE WHEN p_size < 10 THEN 'main' WHEN p_size < 20 THEN 'handler' WHEN p_size < 30 THEN 'test' ELSE 'export' END AS kind, p_retailprice AS weight,
+   CASE WHEN p_size < 10 THEN 0 WHEN p_size < 20 THEN 1 WHEN p_size < 30 THEN 2 ELSE 3 END AS o, p_name FROM part),
+t AS (SELECT * FROM k ORDER BY weight DESC, o, p_name, entry LIMIT 25),
+a0 AS (SELECT entry, entry AS node FROM t), a1 AS (SELECT DISTINCT entry, dst AS node FROM a0 JOIN e ON src = node EXCEPT FROM a0),
+a2 AS (SELECT DISTINCT entry, dst AS node FROM a1 JOIN e ON src = node EXCEPT FROM a0 EXCEPT FROM a1),
+a3 AS (SELECT DISTINCT entry, dst AS node FROM a2 JOIN e ON src = node EXCEPT FROM a0 EXCEPT FROM a1 EXCEPT FROM a2),
+a4 AS (SELECT DISTINCT entry, dst AS node FROM a3 JOIN e ON src = node EXCEPT FROM a0 EXCEPT FROM a1 EXCEPT FROM a2 EXCEPT FROM a3),
+s AS (SELECT *, 0 AS depth FROM a0 UNION ALL SELECT *, 1 FROM a1 UNION ALL SELECT *, 2 FROM a2 UNION ALL SELECT *, 3 FROM a3 UNION ALL SELECT *, 4 FROM a4)
+SELECT s.entry, kind, weight, node, depth, max(depth) OVER (PARTITION BY s.entry) >= 4 AS truncated FROM s JOIN t ON t.entry = s.entry
+"""
+
+
+def _cycle_sizes(e: DataFrame) -> DataFrame:
+    return strong_components(e).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
 
 def part_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return strong_components(rare_flow(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+    return _cycle_sizes(rare_flow(spark, d))
+
+
+def part_cycles_all(spark: SparkSession, d: str) -> DataFrame:
+    return _cycle_sizes(part_flow(spark, d))
 
 
 PART_CYCLES = f"""
@@ -141,9 +184,16 @@ s AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*
 """
 
 
+def _circular(e: DataFrame) -> DataFrame:
+    return circular(e, None).select("component", "size", F.array_join("members", ",").alias("members"))
+
+
 def circular_parts(spark: SparkSession, d: str) -> DataFrame:
-    c = circular(rare_flow(spark, d), None)
-    return c.select("component", "size", F.array_join("members", ",").alias("members"))
+    return _circular(rare_flow(spark, d))
+
+
+def circular_parts_all(spark: SparkSession, d: str) -> DataFrame:
+    return _circular(part_flow(spark, d))
 
 
 CIRCULAR_PARTS = f"""
@@ -340,9 +390,10 @@ WITH RECURSIVE {FLOW}, w AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION
 SELECT node, min(depth) AS depth FROM w GROUP BY 1
 """
 
-QUERIES = {f.__name__: f for f in (edges_weighted, part_ranks, impact_of_parts, blast_radius, part_walk, flows_of_parts, part_cycles, circular_parts, index_stats, best_files, found_symbols, file_outlines, untested_hotspots, who_calls, lonely_files, import_names, import_use, unused_symbols, packages_used, entry_points, part_reach)}
+QUERIES = {f.__name__: f for f in (edges_weighted, part_ranks, impact_of_parts, blast_radius, blast_radius_all, part_walk, flows_of_parts, flows_of_parts_all, part_cycles, part_cycles_all, circular_parts, circular_parts_all, index_stats, best_files, found_symbols, file_outlines, untested_hotspots, who_calls, lonely_files, import_names, import_use, unused_symbols, packages_used, entry_points, part_reach)}
 SQL = {
     "edges_weighted": EDGES_WEIGHTED, "part_ranks": _rank_sql(), "impact_of_parts": IMPACT_OF_PARTS, "blast_radius": BLAST_RADIUS, "part_walk": PART_WALK, "flows_of_parts": FLOWS_OF_PARTS, "part_cycles": PART_CYCLES,
     "circular_parts": CIRCULAR_PARTS, "index_stats": INDEX_STATS, "best_files": BEST_FILES, "found_symbols": FOUND_SYMBOLS, "file_outlines": FILE_OUTLINES, "untested_hotspots": UNTESTED_HOTSPOTS, "who_calls": WHO_CALLS,
     "lonely_files": LONELY_FILES, "import_names": IMPORT_NAMES, "import_use": IMPORT_USE, "unused_symbols": UNUSED_SYMBOLS, "packages_used": PACKAGES_USED, "entry_points": ENTRY_POINTS, "part_reach": PART_REACH,
+    "blast_radius_all": BLAST_RADIUS_ALL, "flows_of_parts_all": FLOWS_OF_PARTS_ALL,
 }
