@@ -316,9 +316,8 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Users whose events, up to each tenth of the log, end in a repeated pattern."""
-    e = _calls(spark, d).withColumn("part", F.floor(F.col("event_id") / 50)).withColumn("k", F.concat_ws("/", "session_id", "part"))
-    return S.loops(e, "k", ["ts", "event_id"], "event_type", 64, 3)
+    """Users whose last events end in a repeated pattern."""
+    return S.loops(_calls(spark, d), "session_id", ["ts", "event_id"], "event_type", 64, 3)
 
 
 def running_budgets(spark: SparkSession, d: str) -> DataFrame:

@@ -57,3 +57,13 @@ def test_queries_of_the_whole_flow(spark, tmp_path):
     cut = sorted(n.values())[max(0, len(n) // 4 - 1)]
     assert sorted(run(spark, tmp_path, "part_surprises_all")) == sorted((a, b, float(k)) for (a, b), k in n.items() if k <= cut and a % 3 != b % 3)
     assert sum(form == "mermaid" for form, _ in run(spark, tmp_path, "graph_texts_all")) == 30 + len(n)
+
+
+def test_repeated_calls_of_whole_sessions(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    kinds = {1: ["view", "click", "view", "click", "view", "click"], 2: ["error", "view", "view", "click"], 3: ["click"] * 70}
+    at = datetime(2026, 1, 1)
+    rows = [(1000 * k + u, u, kind, at + timedelta(hours=k), 1.0) for u, row in kinds.items() for k, kind in enumerate(row)]
+    put(spark, tmp_path, "events", rows, "event_id long, user_id long, event_type string, ts timestamp, value double")
+    assert dict(run(spark, tmp_path, "repeated_calls")) == {"1": 3, "3": 64}
