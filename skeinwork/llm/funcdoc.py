@@ -9,7 +9,7 @@ attached. Lines that describe nothing are taken out of the documentation.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,6 +97,7 @@ class Source:
             at = b
         parts.append(text[at:])
         self.bare = "".join(parts)
+        self.openings = list(self.texts)
         self.starts = [0] + [m.end() for m in re.finditer(r"\r\n|\n|\r", text)]
         self.kind = ["blank" if not ln.strip() else "code" for ln in (self.bare[a:b] for a, b in zip(self.starts, [*self.starts[1:], len(text)]))]
         for a, b in self.comments:
@@ -166,7 +167,8 @@ class Source:
         return end, colon + 1
 
     def _inside(self, at: int) -> bool:
-        return any(a < at < b for a, b in self.texts.items()) if len(self.texts) < 200 else False
+        k = bisect_left(self.openings, at) - 1  # strings do not overlap
+        return k >= 0 and at < self.texts[self.openings[k]]
 
     def above(self, at: int) -> list[str]:
         """The lines of the comments that end right above the declaration at ``at``."""

@@ -65,3 +65,11 @@ def test_odd_texts():
         for lang in ("javascript", "python", "go", "rust"):
             list(functions_in(t, lang))
     assert language_of(None, None) is None and language_of("TypeScript", "x") == "javascript" and words_in("a - b c") == 3
+
+
+def test_dedented_string_in_a_large_file():
+    method = 'class A:\n    def load(self):\n        x = """\nselect 1\n"""\n        return x\n\n    def next(self):\n        pass\n'
+    many = "".join(f"s{k} = 'v{k}'\n" for k in range(300))
+    for src, line in ((method, 2), (many + method, 302), (method + many, 2)):
+        f = one(src, "python", "load")
+        assert (f.line, f.end_line) == (line, line + 4) and f.code.endswith("return x")
