@@ -30,6 +30,8 @@ MINIFIED_NAMES = r"([._-]min\.(m?js|cjs|css)|\.bundle\.(m?js|cjs|css)|\.[0-9a-f]
 SCRIPTS = r"\.(m?js|cjs|css)$"
 PROGRAMS = r"\.(ts|tsx|mts|cts|js|jsx|mjs|cjs|py|pyi|go|rs|rb|java|kt|c|cc|cpp|h|hpp|cs|php|swift|scala)$"
 _BY_TOOL = re.compile(r"code generated by|do not edit|@generated\b|auto-?generated|automatically generated|generated (?:file|code|from|by)\b|(?:produced|created|written) by a tool|edits (?:are|will be) lost", re.I)
+_COMMENT = re.compile(r"\s*(//|/\*|\*|#|--|;|<!--|\"\"\"|''')")
+_CLOSING = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d+|[^\s\w]")
 
 
@@ -60,14 +62,42 @@ def fingerprints(text: str, language: str | None, gram: int = 20, window: int =
     return winnow(acc * np.uint64(0xBF58476D1CE4E5B9), window)
 
 
+def heading(rows: list[str]) -> Iterator[str]:
+    """The comment lines before the first line of code, and those among the first five lines that are not blank."""
+    closes, code, n = None, False, 0
+    for r in rows:
+        if not r.strip():
+            continue
+        n += 1
+        if closes:
+            at = r.find(closes)
+            yield r if at < 0 else r[:at]
+            if at < 0:
+                continue
+            rest = r[at + len(closes) :].strip()
+            closes, code = None, code or bool(rest) and not _COMMENT.match(rest)
+            continue
+        if code and n > 5:
+            return
+        m = _COMMENT.match(r)
+        if not m:
+            code = code or not r.startswith("<?")
+            continue
+        yield r
+        if (end := _CLOSING.get(m[1])) is not None:
+            at = r.find(end, m.end())
+            closes = end if at < 0 and not code else None
+            rest = r[at + len(end) :].strip() if at >= 0 else ""
+            code = code or bool(rest) and not _COMMENT.match(rest)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, tool, packed, prints = [], [], [], []
         for fid, text, language, path in zip(*(batch.column(c).to_pylist() for c in ("file_id", "content", "language", "path"))):
-            head = [r for r in text[:4000].splitlines() if r.strip()][:5]
             rows = text.splitlines() or [""]
             ids.append(fid)
-            tool.append(any(_BY_TOOL.search(r) and re.match(r"\s*(?://|/\*|\*|#|--|;|<!--|\"\"\"|''')", r) for r in head))
+            tool.append(any(map(_BY_TOOL.search, heading(rows))))
             packed.append(bool(re.search(SCRIPTS, (path or "").lower())) and max(map(len, rows)) >= 1000 and len(text) / len(rows) >= 200)
             prints.append(fingerprints(text, language_of(language, path)).view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tool, pa.bool_()), pa.array(packed, pa.bool_()), pa.array(prints, pa.list_(pa.int64()))], names=["file_id", "tool", "packed", "prints"])
@@ -86,7 +116,7 @@ def unwritten_files(files: DataFrame, catalog: DataFrame, texts: DataFrame) -> D
     """One row per file: file_id, path, reason, where the reason is ``generated``, ``minified``,
     ``third-party``, ``data`` or null for files written by hand.
 
-    A file is generated by its name, its folder or a tool's header in its first lines; minified by its
+    A file is generated by its name, its folder or a tool's header in the comments before its code; minified by its
     name, or as a script with 50 symbols or more and 16 or more a line, or by the lines of its text;
     third-party in a folder for such, by name, language and line count in the catalogue (a language
     ``unknown`` matches by the name alone), or as a text that recurs; data as a program of 5,000

@@ -27,3 +27,15 @@ def test_recurring_texts(spark, frame):
 
 def test_empty(spark, frame):
     assert unwritten_files(frame([], FILES), frame([], CAT), frame([], "file_id long, content string")).count() == 0
+
+
+def test_header_after_a_long_licence(spark, frame):
+    licence = [f"// Line {k} of the licence, which goes on for long enough." + " And on." * 60 for k in range(20)]
+    block = ["/*", *(r[3:] for r in licence), "Code generated by a tool. DO NOT EDIT.", "*/", "package b"]
+    texts = [
+        (1, "\n".join([*licence, "", "// Code generated by protoc-gen-go. DO NOT EDIT.", "package b"])), (2, "\n".join(block)),
+        (3, "\n".join([*licence, "package b", *["var a = 1"] * 5, "// Code generated by hand here. DO NOT EDIT."])), (4, "package b\n// Code generated by a tool. DO NOT EDIT.\n"), (5, "\n".join([*licence, "package b"])),
+    ]
+    rows = [(k, f"a/b/src/f{k}.go", "go", 30, 2) for k in range(1, 6)]
+    got = unwritten_files(frame(rows, FILES), frame([], CAT), frame(texts, "file_id long, content string")).collect()
+    assert {r.file_id: r.reason for r in got} == {1: "generated", 2: "generated", 3: None, 4: "generated", 5: None}
