@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,12 +27,20 @@ def select_skills(skills: DataFrame, agent: str, touched: list[str] | None = Non
     rank = F.array_position(F.array(*map(F.lit, SCOPES)), F.col("scope"))
     best = skills.groupBy("name").agg(F.max_by(F.struct("scope", "agents", "globs", "body"), rank).alias("s")).select("name", "s.*")
     fit = (F.coalesce(F.size("agents"), F.lit(0)) <= 0) | F.array_contains("agents", agent)
-    if touched is not None:
-        # globs become patterns once per distinct glob, of which there are few
-        globs = [r.g for r in best.select(F.explode("globs").alias("g")).distinct().limit(10_000).collect()]
-        good = [g for g in globs if any(re.search(glob_pattern(g), t) for t in touched)]
-        fit = fit & ((F.coalesce(F.size("globs"), F.lit(0)) <= 0) | F.arrays_overlap("globs", F.array(*map(F.lit, good)).cast("array<string>")))
-    return best.where(fit)
+    if touched is None:
+        return best.where(fit)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [g for g in batch.column("g").to_pylist() if any(re.search(p, t) for p in [glob_pattern(g)] for t in touched)]
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.string())], names=["g"])
+
+    # globs become patterns once per distinct glob, where they are
+    each = best.select(F.col("name").alias("_n"), F.explode("globs").alias("g")).where("g is not null")
+    good = each.select("g").distinct().mapInArrow(match, "g string")
+    hit = each.join(good, "g").select("_n").distinct().withColumn("_hit", F.lit(True))
+    fit = fit & ((F.coalesce(F.size("globs"), F.lit(0)) <= 0) | F.coalesce("_hit", F.lit(False)))
+    return best.join(hit, best["name"].eqNullSafe(hit["_n"]), "left").where(fit).drop("_n", "_hit")
 
 
 def pack(items: list[tuple[str, str]], most: int = PACK_CHARS) -> list[tuple[str, str]]:

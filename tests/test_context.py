@@ -61,3 +61,10 @@ def test_small(spark):
     kv = spark.createDataFrame([("loop:a", '{"name":"n","active":true,"iteration":2,"startedAt":"2026-01-01T00:00:00Z"}', 10), ("loop:b", "broken", 10), ("x", "{}", 10), ("loop:c", "{}", 1)], "key string, data string, expires_at long")
     got = {r.key: (r.name, r.active, r.iteration) for r in C.live_loops_of(kv, 5).collect()}
     assert got == {"loop:a": ("n", True, 2), "loop:b": (None, False, None)}
+
+
+def test_skills_of_many_globs(spark):
+    rows = spark.range(12_000).selectExpr("concat('s', id) AS name", "'user' AS scope", "cast(array() AS array<string>) AS agents", "array(concat('src/', id, '/*.ts')) AS globs", "'b' AS body")
+    last = C.select_skills(rows, "x", [f"src/{k}/q.ts" for k in (0, 5_000, 10_500, 11_999)])
+    assert {r.name for r in last.collect()} == {"s0", "s5000", "s10500", "s11999"} and last.columns == ["name", "scope", "agents", "globs", "body"]
+    assert C.select_skills(rows, "x", ["src/%d/q.ts" % k for k in range(0, 12_000, 1_000)]).count() == 12
