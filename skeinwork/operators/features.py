@@ -1,7 +1,7 @@
 """One row per entity with counts, recency and totals for every event type.
 
-Rows are spread over (entity, type, salt), the salt coming from the row's own id: a heavy
-entity-type group is divided, and repeated rows of one id still meet, so the one shuffle
+Rows are spread over (entity, type, salt), the salt coming from the row's id, time and payload: a heavy
+entity-type group is divided, with ids or without, and repeated rows still meet, so the one shuffle
 of rows serves both their removal and the partial statistics. Partials are merged
 per (entity, type), and the complete list of types is expanded at the end.
 """
@@ -28,9 +28,10 @@ def plain_type(kind: Column) -> Column:
 
 def token_total(data: Column) -> Column:
     """The number after a ``tokens`` key anywhere in a payload, quoted, nested or in broken
-    JSON, if the number itself is complete; 0 where there is none."""
-    found = F.regexp_extract(data, r'"tokens"\s*:\s*"?([0-9]{1,15})\s*[",}]', 1)
-    return F.when(F.length(found) > 0, found.cast("long")).otherwise(0)
+    JSON, if the number itself is complete, whatever its length; 0 where there is none, or none
+    that 64 bits hold."""
+    found = F.regexp_extract(data, r'"tokens"\s*:\s*"?([0-9]+)\s*[",}]', 1)
+    return F.coalesce(found.try_cast("long"), F.lit(0).cast("long"))
 
 
 def in_ms(stamp: Column) -> Column:
@@ -68,7 +69,7 @@ def session_features(events: DataFrame, as_of: int | None = None, salts: int = 1
     known = events.where("session_id is not null")
     # apart from the rest, whose buffers thus hold numbers only and need no sorting
     project = known.select("session_id", "project_id").distinct().groupBy("session_id").agg(F.max("project_id").alias("project_id"))
-    rows = known.select("session_id", plain_type(F.col("type")).alias("type"), "id", in_ms(F.col("timestamp")).alias("ts"), token_total(F.col("data")).alias("tokens"), F.xxhash64("data").alias("payload"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("byte").alias("salt"))
+    rows = known.select("session_id", plain_type(F.col("type")).alias("type"), "id", in_ms(F.col("timestamp")).alias("ts"), token_total(F.col("data")).alias("tokens"), F.xxhash64("data").alias("payload"), F.pmod(F.xxhash64("id", in_ms(F.col("timestamp")), "data"), F.lit(salts)).cast("int").alias("salt"))
     # one shuffle: the two groupings that follow need no other
     rows = rows.repartition("session_id", "type", "salt")
     once = rows.groupBy("session_id", "type", "salt", "id", "ts", "payload").agg(F.max("tokens").alias("tokens"))

@@ -1,21 +1,27 @@
 """Session set-up and the shared folder in which lineage is cut.
 
 On a cluster ``spark.checkpoint.dir`` names a folder every executor can reach;
-it is read from the session and never replaced. Only where it is unset (local
-tests) a temporary folder is made.
+it is read from the session and never replaced. Where it is unset a temporary
+folder is made, but only if the master is local: elsewhere that is an error. All tables
+of a session lie in one folder of their own in it, which goes when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a side whose rows are small is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which such a side is broadcast.
+BROADCAST_BYTES = 256 << 20
+_MARKED: set[str] = set()
 
 
 def build_session(app: str = "skeinwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,16 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         made = tempfile.mkdtemp(prefix="skeinwork-")
         atexit.register(shutil.rmtree, made, True)
         sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def session_dir(spark: SparkSession) -> str:
+    """The session's own folder in the shared one. It is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/skeinwork-{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _MARKED.add(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -62,7 +76,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     columns are still pruned by later readers. Column names must be unique.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,6 +86,10 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is within the bound, else unchanged."""
-    return df.hint("broadcast") if bounded(df, rows) else df
+def hinted(df: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int = 256) -> DataFrame:
+    """``df`` with a broadcast hint if it is within the bounds of rows and of bytes, else unchanged. Bytes are
+    counted as ``row_bytes`` for what has a fixed width, plus the lengths of texts and binaries."""
+    wide = [c for c, k in df.dtypes if k in ("string", "binary")]
+    some = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.octet_length(F.col(f"`{c}`"))).alias(f"b{i}") for i, c in enumerate(wide))).first()
+    size = some[0] * row_bytes + sum(b or 0 for b in some[1:])
+    return df.hint("broadcast") if some[0] <= rows and size <= BROADCAST_BYTES else df

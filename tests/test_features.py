@@ -42,5 +42,11 @@ def test_latest_week_leaves_out_strays(spark):
     assert last_full_week(spark.createDataFrame(rows, S)) == T0 + 4999 * 60_000
 
 
+def test_long_numbers_and_null_ids(spark):
+    rows = [row(None, "x", "s", "p", T0 + k, f'{{"tokens":{10**17}}}') for k in range(20)] + [row(None, "x", "s", "p", T0, f'{{"tokens":{10**17}}}'), row(1, "x", "s", "p", T0, f'{{"tokens":{10**30}}}')]
+    (r,) = session_features(spark.createDataFrame(rows, S)).collect()
+    assert (r.x__n, r.x__tokens) == (21, 20 * 10**17)
+
+
 def test_empty(spark):
     assert session_features(spark.createDataFrame([], S)).count() == 0

@@ -1,4 +1,4 @@
-from skeinwork.operators.logparse import parse_log
+from skeinwork.operators.logparse import Layout, parse_log
 
 S = "line_id long, log_name string, line_no long, message string, rule string, block int, start long, carried long"
 HEADS = [
@@ -48,6 +48,23 @@ def test_very_long_lines(spark):
     assert got == {1: (1, "router", len(long)), 2: (3, "tui", len(long) + 300_003)}
 
 
+def test_headers_of_any_length(spark):
+    deep, host, pid = ".".join(["part"] * 60), "-".join(["runner"] * 40) + "-7", "9" * 200
+    rows = [(1, "l", 1, f"2026-03-14 16:48:24,623 - {deep}.last - INFO - a"), (2, "l", 2, f"Mar  4 16:54:06 {host} prog-watcher[{pid}]: <info> b"), (3, "l", 3, f"I0314 16:10:50.677214{' ' * 90}{pid} graph.cc:491] c")]
+    got = {r.first_line_id: (r.component, r.message) for r in parse_log(lines(spark, rows)).collect()}
+    assert got == {1: ("last", "a"), 2: ("watcher", "b"), 3: ("graph", "c")}
+
+
+def test_no_numbers_and_own_layouts(spark):
+    rows = [(k, "l", None, HEADS[0][0] if k % 10 == 0 else "more") for k in range(100)] + [(1000, "l", 0, "tail of the last")]
+    for size in (7, 20_000):
+        got = sorted((r.first_line_id, r.last_line_id) for r in parse_log(lines(spark, rows), block_lines=size).collect())
+        assert got == [(k, k + 9 if k < 90 else 1000) for k in range(0, 100, 10)]
+    mine = [Layout("mine", r"^9 a> ", r"^(\d+) (\w+)> (.*)$", "$1", "$2", "", "$3")]
+    (r,) = parse_log(lines(spark, [(1, "l", 1, "1773501327588 Core> x"), (2, "l", 2, HEADS[0][0])]), layouts=mine).collect()
+    assert (r.ts_ms, r.component, r.level, r.message) == (1773501327588, "core", "", "x\n" + HEADS[0][0])
+
+
 def test_empty(spark):
     assert parse_log(lines(spark, [])).count() == 0
     assert parse_log(lines(spark, [(1, "l", 1, None)])).count() == 0
