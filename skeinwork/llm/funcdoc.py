@@ -24,12 +24,19 @@ _DQ = r'"(?:\\[\s\S]|[^"\\\r\n])*"?'
 _SQ = r"'(?:\\[\s\S]|[^'\\\r\n])*'?"
 _LEXERS = {
     "python": re.compile(r"(?P<line>#[^\r\n]*)|(?P<text>[rRbBuUfF]{0,2}(?:\"\"\"(?:\\[\s\S]|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\[\s\S]|[^\\])*?(?:'''|\Z)|" + _DQ + "|" + _SQ + "))"),
-    "javascript": re.compile(_LINE + "|" + _BLOCK + "|(?P<text>" + _DQ + "|" + _SQ + r"|`(?:\\[\s\S]|[^`\\])*`?)|(?P<regex>(?<=[=(,:\[!&|?{};+\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\r\n])*\]|[^/\\\[\r\n])+/[a-z]*)"),
+    "javascript": re.compile(_LINE + "|" + _BLOCK + "|(?P<text>" + _DQ + "|" + _SQ + r")|(?P<tick>`)|(?P<regex>(?<=[=(,:\[!&|?{};+\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\r\n])*\]|[^/\\\[\r\n])+/[a-z]*)"),
     "go": re.compile(_LINE + "|" + _BLOCK + "|(?P<text>" + _DQ + r"|`[^`]*`?|'(?:\\.|[^'\\\r\n])+')"),
-    "rust": re.compile(_LINE + "|" + _BLOCK + r"|(?P<text>b?r(?P<hash>#*)\"[\s\S]*?\"(?P=hash)|b?" + _DQ.replace(r"\r\n", "") + r"|b?'(?:\\[^'\r\n]+|[^'\\\r\n])')"),
+    "rust": re.compile(_LINE + r"|(?P<nest>/\*)|(?P<text>b?r(?P<hash>#*)\"[\s\S]*?\"(?P=hash)|b?" + _DQ.replace(r"\r\n", "") + r"|b?'(?:\\[^'\r\n]+|[^'\\\r\n])')"),
+    "clike": re.compile(_LINE + "|" + _BLOCK + r'|(?P<text>"""[\s\S]*?(?:"""|\Z)|@"(?:""|[^"])*"?|' + _DQ + r"|'(?:\\[^'\r\n]+|[^'\\\r\n])')"),
+    "php": re.compile(r"(?P<line>(?://|#(?!\[))[^\r\n]*)|" + _BLOCK + "|(?P<text>" + _DQ.replace(r"\r\n", "") + "|" + _SQ.replace(r"\r\n", "") + ")"),
 }
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "function", "return", "with", "do", "else", "new", "await", "typeof", "throw", "case", "in", "of", "delete", "void", "yield", "super", "constructor_"}
 _DECLS = {
+    "clike": [
+        re.compile(r"^[ \t]*(?:[\w@]+[ \t]+)*?(?:fun|func)\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)*(?P<name>\w+)\s*(?:<[^>()]*>\s*)?(?=\()", re.M),
+        re.compile(r"^[ \t]*(?:[\w$<>\[\],.?&*:]+[ \t]+[*&]*)+(?P<name>~?[\w$]+)[ \t]*(?P<method>\()", re.M),
+    ],
+    "php": [re.compile(r"^[ \t]*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(?P<name>\w+)\s*(?=\()", re.M)],
     "python": [re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>\w+)", re.M)],
     "go": [re.compile(r"^func\s*(?:\([^)]*\)\s*)?(?P<name>\w+)\s*(?=[\[(])", re.M)],
     "rust": [re.compile(r"^[ \t]*(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern)\s+)*fn\s+(?P<name>\w+)", re.M)],
@@ -39,8 +46,11 @@ _DECLS = {
         re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)\s+)*\*?\s*(?P<name>[#\w$]+)\s*(?:<[^>()]*>\s*)?(?P<method>\()", re.M),
     ],
 }
-_ALIASES = {"typescript": "javascript", "tsx": "javascript", "jsx": "javascript", "py": "python", "rs": "rust"}
-_BY_SUFFIX = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "javascript", "tsx": "javascript", "mts": "javascript", "cts": "javascript", "go": "go", "rs": "rust"}
+_ALIASES = {"typescript": "javascript", "tsx": "javascript", "jsx": "javascript", "py": "python", "rs": "rust", "java": "clike", "c": "clike", "cpp": "clike", "c++": "clike", "csharp": "clike", "c#": "clike", "kotlin": "clike", "swift": "clike"}
+_BY_SUFFIX = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "javascript", "tsx": "javascript", "mts": "javascript", "cts": "javascript", "go": "go", "rs": "rust", "php": "php"} | dict.fromkeys("java c h cc cpp cxx hpp hh cs kt kts swift".split(), "clike")
+# What may stand between the parameters of a method and its body.
+_BODY = {"javascript": re.compile(r"\s*(?::\s*[^;{}=]+?)?\s*\{"), "clike": re.compile(r"\s*(?:(?:const|noexcept|override|final|async|throws|rethrows|where\b[^{;]*)\b[\s\w.,<>]*)*(?:->\s*[^;{}=]+?|:\s*[^;{}]+?)?\s*\{")}
+_NO_DECL = re.compile(r"[ \t]*(?:return|else|new|throw|case|goto|delete|await|yield|if|for|while|switch|catch|do)\b")
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _BRACKET = re.compile(r"[()\[\]{}]")
 
@@ -75,6 +85,60 @@ def language_of(language: str | None, path: str | None) -> str | None:
     return _BY_SUFFIX.get(suffix) or (known if known in _LEXERS else None)
 
 
+_QUASI, _DEPTH = re.compile(r"\\[\s\S]|`|\$\{"), re.compile(r"/\*|\*/")
+
+
+def _template_end(text: str, at: int) -> int:
+    """Where a template literal that opened before ``at`` ends; its expressions may hold templates again."""
+    open_ = ["`"]  # ` for a template, a number for an expression and the braces open in it
+    while open_:
+        if open_[-1] == "`":
+            m = _QUASI.search(text, at)
+            if m is None:
+                return len(text)
+            at = m.end()
+            if m[0] == "`":
+                open_.pop()
+            elif m[0] == "${":
+                open_.append(1)
+            continue
+        m = _CODE_IN_TEMPLATE.search(text, at)
+        if m is None:
+            return len(text)
+        at = m.end()
+        if m[0] == "`":
+            open_.append("`")
+        elif m[0] in "{}":
+            open_[-1] += 1 if m[0] == "{" else -1
+            if open_[-1] == 0:
+                open_.pop()
+    return at
+
+
+_CODE_IN_TEMPLATE = re.compile(_LEXERS["javascript"].pattern + r"|[{}]")
+
+
+def lex(text: str, language: str) -> Iterator[tuple[str, int, int]]:
+    """The comments, strings and patterns of a text in order: kind (comment, text or regex), start, end."""
+    at, find = 0, _LEXERS[language].search
+    while m := find(text, at):
+        a, b = m.span()
+        kind = m.lastgroup
+        if kind == "tick":
+            b, kind = _template_end(text, b), "text"
+        elif kind == "nest":  # block comments that nest
+            depth = 1
+            while depth and (n := _DEPTH.search(text, b)):
+                b, depth = n.end(), depth + (1 if n[0] == "/*" else -1)
+            b, kind = len(text) if depth else b, "comment"
+        elif kind in ("line", "block"):
+            kind = "comment"
+        elif kind != "regex":
+            kind = "text"
+        yield kind, a, b
+        at = b if b > a else b + 1
+
+
 def _blank(s: str) -> str:
     return re.sub(r"[^\r\n]", " ", s)
 
@@ -85,15 +149,14 @@ class Source:
     def __init__(self, text: str, language: str):
         self.text, self.language = text, language
         parts, at, self.comments, self.texts = [], 0, [], {}
-        for m in _LEXERS[language].finditer(text):
-            a, b = m.span()
+        for kind, a, b in lex(text, language):
             parts.append(text[at:a])
-            if m.lastgroup in ("line", "block") or m.group("line") is not None:
+            if kind == "comment":
                 self.comments.append((a, b))
-            elif m.group("text") is not None:
+            elif kind == "text":
                 self.texts[a] = b
             # a blanked string still is an operand, so quotes stay
-            parts.append(_blank(m[0]) if a not in self.texts else '"' + _blank(m[0][1:-1]) + '"' if b - a > 1 else m[0])
+            parts.append(_blank(text[a:b]) if kind != "text" else '"' + _blank(text[a + 1 : b - 1]) + '"' if b - a > 1 else text[a:b])
             at = b
         parts.append(text[at:])
         self.bare = "".join(parts)
@@ -237,7 +300,7 @@ def functions_in(text: str, language: str) -> Iterator[Found]:
                 doc = []
                 if groups.get("method"):
                     after = src.close(m.end() - 1) + 1
-                    if not re.compile(r"\s*(?::\s*[^;{}=]+?)?\s*\{").match(src.bare, after):
+                    if not _BODY[language].match(src.bare, after) or _NO_DECL.match(m[0]):
                         continue
                     end = src.body(after)
                 elif groups.get("arrow"):
@@ -265,7 +328,8 @@ def documented_functions(files: DataFrame, texts: DataFrame, least_words: int =
     """Every function of ``texts`` (file_id, content) whose documentation has ``least_words`` words
     or more: file_id, found_name, found_line, found_end, code, documentation.
 
-    The language is taken from the file's path, or its language; texts of other languages, without
+    The language is taken from the file's path, or its language (Python, JavaScript, TypeScript, Go, Rust, Java, C,
+    C++, C#, Kotlin, Swift, PHP); texts of other languages, without
     file, null or empty give no row. Repeated rows of files and texts count once.
     """
     kinds = files.where("id is not null").groupBy(F.col("id").alias("file_id")).agg(F.max("language").alias("language"), F.max("path").alias("path"))

@@ -73,3 +73,23 @@ def test_dedented_string_in_a_large_file():
     for src, line in ((method, 2), (many + method, 302), (method + many, 2)):
         f = one(src, "python", "load")
         assert (f.line, f.end_line) == (line, line + 4) and f.code.endswith("return x")
+
+
+def test_nested_templates_and_comments():
+    src = "// Writes the label of one row as text.\nfunction label(x) {\n  const a = `p ${x ? `in } ner ${{k: `}`}.k}` : \"}\"} q`;\n  return a;\n}\nfunction next() {\n  return 1;\n}\n"
+    f = one(src, "javascript", "label")
+    assert (f.line, f.end_line) == (2, 5) and f.documentation == "Writes the label of one row as text." and one(src, "javascript", "next").end_line == 8
+    rust = "/* outer /* inner */ fn ghost() { } */\n/// Gives back the number of slots held.\nfn held() -> u8 {\n    /* } /* } */ } */\n    1\n}\n"
+    assert [(f.name, f.end_line) for f in functions_in(rust, "rust")] == [("held", 6)]
+    for t in ("`", "`${", "`${`", "`${{", "/*/*", "`\\"):
+        assert list(functions_in(t, "javascript")) == [] and list(functions_in(t, "rust")) == []
+
+
+def test_other_braced_languages():
+    java = "class A {\n  /** Reads the next record of the open file. */\n  @Override\n  public List<String> read(int n) throws IOException, B {\n    if (n > 0) { return f(\"}\"); }\n    return new C(n) { };\n  }\n}\n"
+    assert [(f.name, f.line, f.end_line, bool(f.documentation)) for f in functions_in(java, "clike")] == [("read", 4, 7, True)]
+    cpp = "// Moves the cursor to the first free cell.\nstatic std::vector<int>* Grid::move(const A& a) const {\n  char c = '{';\n  return 0;\n}\nint main() {\n}\n"
+    assert [(f.name, f.end_line) for f in functions_in(cpp.replace("Grid::", ""), "clike")] == [("move", 5), ("main", 7)]
+    assert [f.name for f in functions_in("// Opens all of the doors at once.\nfun <T> Door.open(a: T): Int {\n}\n", "clike")] == ["open"]
+    assert [f.name for f in functions_in("<?php\n# Counts what is left in the list.\npublic static function left($a) {\n  return '}';\n}\n", "php")] == ["left"]
+    assert language_of("Java", None) == "clike" and language_of(None, "a/b.php") == "php"
