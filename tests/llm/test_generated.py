@@ -21,8 +21,28 @@ def test_recurring_texts(spark, frame):
     body = "\n".join(f"function part{k}(a, b) {{ return a.x{k} + b.y{k} * {k}; }}" for k in range(60))
     own = lambda n: "\n".join(f"const own{n}_{k} = call{n}(other{k}.z{n}, {k});" for k in range(60))
     assert set(fingerprints(body, "javascript")) == set(fingerprints(body.replace("60", "61") + "\n// a comment", "javascript"))
-    rows = [(k, f"libs/r{k}", [int(x) for x in fingerprints(body + own(k)[:200], "javascript").view("int64")]) for k in range(4)] + [(9, "libs/r9", [int(x) for x in fingerprints(own(9), "javascript").view("int64")])]
-    assert {r.file_id for r in recurring(spark.createDataFrame(rows, "file_id long, repository string, prints array<long>")).collect()} == {0, 1, 2, 3}
+    prints = lambda t: [int(x) for x in fingerprints(t, "javascript").view("int64")]
+    rows = [(k, f"libs/r{k}", prints(body + own(k)[:200]), False) for k in range(4)] + [(9, "libs/r9", prints(own(9)), False)]
+    schema = "file_id long, repository string, prints array<long>, known boolean"
+    assert {r.file_id for r in recurring(spark.createDataFrame(rows, schema)).collect()} == {0, 1, 2, 3}
+    # two repositories are too few, unless one of the two bodies is known to be another's
+    assert recurring(spark.createDataFrame(rows[:2], schema)).count() == 0
+    assert {r.file_id for r in recurring(spark.createDataFrame([rows[0], (7, "libs/r0", prints(body), True)], schema)).collect()} == {0}
+    # short texts recur as a whole only
+    short = [(k, f"libs/r{k}", prints("a = b(1)" if k < 4 else "a = c(1)"), False) for k in range(5)]
+    assert [len(r[2]) for r in short] == [1] * 5 and {r.file_id for r in recurring(spark.createDataFrame(short, schema)).collect()} == {0, 1, 2, 3}
+
+
+def test_a_copy_under_a_plain_path_is_found_by_winnowing_alone(spark, frame):
+    body = "\n".join(f"export function part{k}(a, b) {{ return a.x{k} + b.y{k} * f{k}(a); }}" for k in range(60))
+    own = "\n".join(f"const own{k} = call(other{k}.z, {k});" for k in range(60))
+    rows = [(1, "apps/one/vendor/lib/core.js", "javascript", 60, 60), (2, "packages/two/src/helpers/tools.js", "javascript", 62, 60), (3, "packages/two/src/own.js", "javascript", 60, 0), (4, "crates/x/src/listed.js", "javascript", 61, 9), (5, "crates/y/src/other.js", "javascript", 9, 9)]
+    listed = "\n".join(f"var listed{k} = [{k}, g{k}(h{k}.i, j{k})];" for k in range(80))
+    texts = [(1, body), (2, "// our own, really\n" + body.replace("60", "61") + "\nexport default 1;\n"), (3, own), (4, listed), (5, listed + "\n")]
+    args = (frame(rows, FILES), frame([("lib", "1", "listed.js", "javascript", 61)], CAT), frame(texts, "file_id long, content string"))
+    got = {r.file_id: (r.reason, r.evidence) for r in unwritten_files(*args).collect()}
+    assert got == {1: ("third-party", ["folder"]), 2: ("third-party", ["winnowing"]), 3: (None, []), 4: ("third-party", ["catalogue"]), 5: ("third-party", ["winnowing"])}
+    assert {r.file_id for r in unwritten_files(*args, winnowed=False).where("reason is not null").collect()} == {1, 4}
 
 
 def test_empty(spark, frame):
