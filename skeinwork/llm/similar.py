@@ -60,6 +60,41 @@ def _levels(min_cosine: float | None) -> list[float]:
     return out[::-1]
 
 
+class _Pivots:
+    """Pivots of one set of cells. Beyond ``flat`` of them they are found through groups of about the square root of
+    their number: a vector then meets the pivots of its nearest groups only, so that dealing stays near-linear."""
+
+    def __init__(self, p: np.ndarray, flat: int, groups: int = 16):
+        self.p, self.groups, self.heads = p, groups, None
+        if len(p) > flat:
+            heads = p[:: max(1, round(len(p) ** 0.5))]
+            own = np.concatenate([(p[at : at + 8192] @ heads.T).argmax(axis=1) for at in range(0, len(p), 8192)])
+            by = np.argsort(own, kind="stable")
+            self.heads, self.members = heads, np.split(by, np.searchsorted(own[by], np.arange(1, len(heads))))
+
+    def nearest(self, x: np.ndarray, look: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, pivot) of the ``look`` nearest pivots of each row, and the nearest of each."""
+        if self.heads is None or look * 16 > len(self.p):
+            s = x @ self.p.T
+            near = np.argpartition(-s, look - 1, axis=1)[:, :look] if look < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
+            return np.repeat(np.arange(len(x)), near.shape[1]), near.ravel(), s.argmax(axis=1)
+        s = x @ self.heads.T
+        g = min(self.groups, s.shape[1])
+        near = np.argpartition(-s, g - 1, axis=1)[:, :g] if g < s.shape[1] else np.tile(np.arange(g), (len(s), 1))
+        row, group = np.repeat(np.arange(len(x)), g), near.ravel()
+        by = np.argsort(group, kind="stable")
+        got = []
+        for part in np.split(by, np.flatnonzero(np.diff(group[by])) + 1):
+            members = self.members[group[part[0]]]
+            got.append((np.repeat(row[part], len(members)), np.tile(members, len(part)), (x[row[part]] @ self.p[members].T).ravel()))
+        r, c, v = (np.concatenate(a) for a in zip(*got))
+        by = np.lexsort((c, -v, r))
+        r, c = r[by], c[by]
+        first = np.searchsorted(r, np.arange(len(x)))
+        nth = np.arange(len(r)) - first[r]
+        return r[nth < look], c[nth < look], c[first]
+
+
 class _Lines:
     def __init__(self, dims: int, lines: int, threshold: int, reach: float, seed: int):
         self.a = np.random.default_rng(seed).standard_normal((dims, lines)).astype(np.float32)
@@ -114,7 +149,8 @@ def most_similar(
     tables: int = 3,
     probes: int | float = 4,
     cell: int = 512,
-    max_pivots: int = 16384,
+    max_pivots: int = 262144,
+    flat_pivots: int = 16384,
     lines: int = 16,
     threshold: int = 12,
     reach: float = 2.0,
@@ -130,7 +166,8 @@ def most_similar(
 
     ``probes`` is the number of cells a query looks into or, as a float up to 1.0, the share of all
     cells, in each of ``tables`` sets of them. The pivots of a set are at most ``max_pivots``
-    vectors, a hash-ordered sample; all vectors are indexed. Cells compare in half precision, then the
+    vectors, a hash-ordered sample, so that cells stay small up to ``cell`` times as many vectors; all vectors are
+    indexed. More than ``flat_pivots`` pivots are found by way of groups of them. Cells compare in half precision, then the
     best ``k`` and a few more are compared exactly. Defaults suit ``min_cosine`` 0.9.
     """
     rows = vectors.select(F.col(id).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where("id is not null and vec is not null")
@@ -149,7 +186,8 @@ def most_similar(
     pivots = []
     for t in range(tables):
         some = reps.orderBy(F.xxhash64("h", F.lit(t)), "u").limit(wanted).select("u").collect()
-        pivots.append(_array(pa.array([bytes(r.u) for r in some], pa.binary()), dims))
+        pivots.append(_Pivots(_array(pa.array([bytes(r.u) for r in some], pa.binary()), dims), flat_pivots))
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
     asks = reps.select("h", "u", F.lit(True).alias("asks"))
     if queries is not None:
         who = queries.select(F.col(id).cast("string").alias("id")).distinct()
@@ -164,12 +202,11 @@ def most_similar(
                 x = _array(part.column("u"), dims)
                 ask = part.column("asks").to_numpy(zero_copy_only=False)
                 half = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
-                for t, p in enumerate(pivots):
-                    s = x @ p.T
-                    near = np.argpartition(-s, look - 1, axis=1)[:, :look] if look < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
-                    home = s.argmax(axis=1)
-                    r, c = np.nonzero((near != home[:, None]) & ask[:, None])
-                    rows, cells = np.concatenate([np.arange(len(x)), r]), np.concatenate([home, near[r, c]])
+                for t, p in enumerate(shared.value):
+                    r, c, home = p.nearest(x, look)
+                    other = (c != home[r]) & ask[r]
+                    r, c = r[other], c[other]
+                    rows, cells = np.concatenate([np.arange(len(x)), r]), np.concatenate([home, c])
                     role = np.concatenate([np.where(ask, 2, 0), np.ones(len(r))]).astype(np.int8)
                     yield pa.RecordBatch.from_arrays([pa.array((cells + t * wanted).astype(np.int32)), pa.array(role), part.column("h").take(pa.array(rows)), half.take(pa.array(rows))], names=["cell", "role", "h", "v"])
 

@@ -4,7 +4,8 @@ Texts are split into words (the tokenizer's own pre-tokens) inside Spark, a bloc
 texts at a time; a block keeps its distinct words once and each text as positions in that
 list. The distinct words of all blocks are encoded once each, their ids joined back to
 the blocks by position, and each text's ids read off by its positions. A word however
-frequent thus occurs at most once a block, so no key is hot.
+frequent thus occurs at most once a block. Where blocks are very many a common word still is
+a hot key of that join, whose partition adaptive execution splits by the blocks it comes from.
 """
 
 from __future__ import annotations

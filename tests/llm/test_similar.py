@@ -46,6 +46,15 @@ def test_recall_without_floor(spark, frame):
     assert recall(frame, x, probes=0.65) >= 0.9
 
 
+def test_pivots_by_way_of_groups(spark, frame):
+    x = data(3000)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    want = {(f"v{a:04d}", f"v{b:04d}") for a in range(len(x)) for b in range(a + 1, len(x)) if s[a, b] >= 0.9}
+    got = {(r.id_a, r.id_b) for r in similar_pairs(frame(rows(x), "id string, embedding array<float>"), cell=8, flat_pivots=64).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_edges(spark, frame):
     e = [1.0] + [0.0] * 63
     f = [0.0, 1.0] + [0.0] * 62
