@@ -175,6 +175,7 @@ class NearDuplicates:
     def __init__(self, texts: DataFrame, id: str = "id", text: str = "text", place: Column | str | None = None, run: int = 5, least: float = 0.8, min_words: int = 5, groups: int = 7, dims: int = 3):
         if not 0 < least <= 1 or run < 1 or groups < 1 or dims < 2:
             raise ValueError("least must be in (0, 1], run and groups positive, dims at least 2")
+        self.placed = place is not None
         where = F.lit("") if place is None else F.col(place) if isinstance(place, str) else place
         rows = texts.select(F.col(id).cast("string").alias("id"), where.cast("string").alias("place"), F.col(text).alias("text"))
         rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -211,12 +212,19 @@ class NearDuplicates:
         return texts.mapInArrow(_sets(run, min_words), "cls bigint, n int, runs array<bigint>").dropDuplicates(["cls", "n"])
 
     def groups(self) -> DataFrame:
-        """One row per id: id, place, group (the least class of its group), links of its class."""
-        edges = self.links.select(F.col("cls").alias("src"), F.col("cls2").alias("dst"))
-        ends = edges.select("src").union(edges.select("dst")).groupBy(F.col("src").alias("cls")).agg(F.count(F.lit(1)).alias("links"))
-        found = connected_components(edges).withColumnRenamed("node", "cls")
-        out = self.members.join(found, "cls", "left").join(ends, "cls", "left")
-        return out.select("id", "place", "cls", F.coalesce("component", "cls").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+        """One row per id: id, place, class (the least id of an equal set of word runs), group (the least id of all
+        classes linked with it, directly or through others), links of its class. Classes all of whose members
+        lie in one and the same place are not linked."""
+        at = F.coalesce("place", F.lit("\0"))
+        names = stored(self.members.groupBy("cls", "n").agg(F.min("id").alias("class"), F.min(at).alias("low"), F.max(at).alias("high")), "names")
+        one, two = (names.select(*(F.col(c).alias(c + k) for c in ("cls", "n", "class", "low", "high"))) for k in "12")
+        both = self.links.select(F.col("cls").alias("cls1"), F.col("n").alias("n1"), "cls2", "n2").join(one, ["cls1", "n1"]).join(two, ["cls2", "n2"])
+        both = both.where((F.least("low1", "low2") != F.greatest("high1", "high2")) | (F.lit(not self.placed)))
+        edges = stored(both.select(F.col("class1").alias("src"), F.col("class2").alias("dst")), "edges")
+        ends = edges.select("src").union(edges.select("dst")).groupBy(F.col("src").alias("class")).agg(F.count(F.lit(1)).alias("links"))
+        found = connected_components(edges).withColumnRenamed("node", "class")
+        out = self.members.join(names.select("cls", "n", "class"), ["cls", "n"]).join(found, "class", "left").join(ends, "class", "left")
+        return out.select("id", "place", "class", F.coalesce("component", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
 
     def pairs(self, other_places: bool = True) -> DataFrame:
         """All pairs of ids, id_a < id_b, of equal or linked classes; with ``other_places``,

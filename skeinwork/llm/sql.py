@@ -21,6 +21,19 @@ m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g
 SELECT id_a, id_b FROM m JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.7 * (x.n + y.n - k)
 """
 
+P4_GROUPS = r"""
+WITH RECURSIVE c AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(trim(min(file_path)), '[\\/]+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+', '') AS p,
+                  regexp_extract_all(lower(min(content)), '[a-z0-9_]+') AS w FROM chunks GROUP BY id),
+s AS (SELECT DISTINCT id, p, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, p, w, unnest(range(1, len(w) - 1)) AS i FROM c WHERE len(w) >= 20)),
+r AS (SELECT id, any_value(p) AS p, string_agg(g, chr(10) ORDER BY g) AS runs, count(*) AS n FROM s GROUP BY id),
+q AS (SELECT id, p, n, min(id) OVER (PARTITION BY runs) AS class FROM r), k AS (SELECT class, min(p) AS low, max(p) AS high FROM q GROUP BY 1),
+m AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id WHERE a.id IN (SELECT class FROM q) AND b.id IN (SELECT class FROM q) GROUP BY ALL),
+l AS (SELECT x, y FROM m JOIN q a ON a.id = x JOIN q b ON b.id = y JOIN k ka ON ka.class = x JOIN k kb ON kb.class = y WHERE m.k >= 0.7 * (a.n + b.n - m.k) AND least(ka.low, kb.low) <> greatest(ka.high, kb.high)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), walk AS (SELECT class AS x, class AS y FROM k UNION SELECT walk.x, e.y FROM walk JOIN e ON e.x = walk.y),
+g AS (SELECT x AS class, min(y) AS "group" FROM walk GROUP BY 1), d AS (SELECT x AS class, count(*) AS links FROM e GROUP BY 1)
+SELECT id, p AS place, q.class, g."group", coalesce(links, 0) AS links FROM q JOIN g ON g.class = q.class LEFT JOIN d ON d.class = q.class
+"""
+
 P7_FOUND = r"""
 WITH f AS (SELECT id, max(path) AS path, max(language) AS language, max(line_count) AS line_count, max(symbol_count) AS symbol_count FROM files WHERE id IS NOT NULL GROUP BY id),
 p AS (SELECT *, regexp_replace(regexp_replace(path, '[\\/]+', '/', 'g'), '^(\./)+', '') AS plain FROM f), q AS (SELECT *, lower(plain) AS low, split_part(plain, '/', -1) AS name FROM p),
@@ -43,4 +56,4 @@ P7_HANDWRITTEN = f"SELECT id AS file_id, max(path) AS path FROM files WHERE id I
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p7_found": P7_FOUND, "p7_handwritten": P7_HANDWRITTEN}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p7_found": P7_FOUND, "p7_handwritten": P7_HANDWRITTEN}

@@ -73,7 +73,9 @@ def test_edges_and_groups(spark, frame):
     assert {(r.id_a, r.id_b) for r in d.pairs().collect()} == {("a", "b"), ("b", "c"), ("a", "p"), ("b", "p"), ("c", "p")}
     g = {r.id: r for r in d.groups().collect()}
     assert set(g) == {"a", "b", "c", "p"} and len({r.group for r in g.values()}) == 1
-    assert g["p"].cls != g["a"].cls and g["a"].links == 1
+    assert g["p"]["class"] == "p" and {g[k]["class"] for k in "abc"} == {"a"} and {r.group for r in g.values()} == {"a"} and g["a"].links == 1
+    same = NearDuplicates(frame([("a", "x.py", t), ("p", "x.py", t + " more")], SCHEMA), place="file_path", run=3, least=0.7)
+    assert {(r.id, r.group, r.links) for r in same.groups().collect()} == {("a", "a", 0), ("p", "p", 0)}
     empty = NearDuplicates(frame([], SCHEMA), place="file_path")
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
