@@ -41,9 +41,9 @@ _DECLS = {
     "go": [re.compile(r"^func\s*(?:\([^)]*\)\s*)?(?P<name>\w+)\s*(?=[\[(])", re.M)],
     "rust": [re.compile(r"^[ \t]*(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern)\s+)*fn\s+(?P<name>\w+)", re.M)],
     "javascript": [
-        re.compile(r"(?<![\w$.])(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\b\s*\*?\s*(?P<name>[\w$]+)"),
+        re.compile(r"(?<![\w$.])(?=[edaf])(?:export\s++)?(?:default\s++)?(?:declare\s++)?(?:async\s++)?function\b\s*+\*?\s*+(?P<name>[\w$]+)"),
         re.compile(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=;\n]+)?=\s*(?=(?:async\s+)?(?:function\b|[\w$]+\s*=>)|(?P<arrow>(?:async\s*)?(?:<[^>]*>\s*)?\())", re.M),
-        re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)\s+)*\*?\s*(?P<name>[#\w$]+)\s*(?:<[^>()]*>\s*)?(?P<method>\()", re.M),
+        re.compile(r"^[ \t]++(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)\s++)*(?:\*\s*+)?(?P<name>[#\w$]++)\s*+(?:<[^>()]*>\s*)?(?P<method>\()", re.M),
     ],
 }
 _ALIASES = {"typescript": "javascript", "tsx": "javascript", "jsx": "javascript", "py": "python", "rs": "rust", "java": "clike", "c": "clike", "cpp": "clike", "c++": "clike", "csharp": "clike", "c#": "clike", "kotlin": "clike", "swift": "clike"}
