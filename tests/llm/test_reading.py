@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from skeinwork.llm.reading import LevelModels, fit, is_english, prose_of, reading_levels, tokens_of, train
+from skeinwork.llm.reading import LevelModels, fit, grade_ends, is_english, prose_of, reading_levels, tokens_of, train
 
 EASY = ["The cat sat on the mat.", "We can see the dog now.", "It is a big red box.", "Do not drop the cup."]
 HARD = ["Notwithstanding that the infrastructure presupposes the serialization of every configuration, the orchestration substantiates its representation, which the authorization subsequently invalidates.", "Inasmuch as the reconciliation of the heterogeneous representation necessitates authentication, the dependability of the architecture characterizes the implementation that it encapsulates."]
@@ -9,7 +9,7 @@ HARD = ["Notwithstanding that the infrastructure presupposes the serialization o
 
 def test_prose_only():
     t = "# Title of it\n\nuser: The team reads the log.\n\n```python\nx = call(y)\n```\n\n| a | b |\n|---|---|\n\n    at f (src/a.ts:1:2)\n2026-01-01T00:00:00Z INFO [x] the log line is not prose\n- `some_name`\n* One path keeps, and the other stops.\n\nThe first half of a line\nthat is wrapped goes on here."
-    assert [" ".join(w for w in s if w != ",") for s in prose_of(t)] == ["The team reads the log", "One path keeps and the other stops", "The first half of a line that is wrapped goes on here"]
+    assert [" ".join(s.words) for s in prose_of(t)] == ["the team reads the log", "one path keeps and the other stops", "the first half of a line that is wrapped goes on here"]
     assert not is_english(prose_of("Der Bericht prüft den Fehler. Jeder Plan liest den Befehl und wartet danach."))
     assert is_english(prose_of("The plan reads the order and it waits for the end."))
 
@@ -53,4 +53,16 @@ def test_without_labels_the_formula_seeds(spark, frame):
 def test_models():
     m = fit([(1, "a", 5.0), (5, "b", 5.0)], {1: 2, 5: 2})
     assert m.posterior(Counter(a=3)).argmax() == 0 and m.posterior(Counter(b=3)).argmax() == 4
-    assert tokens_of([["The", "cat", ","]])["the"] == 1
+    assert tokens_of(prose_of("The cat, then, sat."))["the"] == 1
+
+
+def test_ends_of_grades():
+    assert grade_ends({1: 0.0, 3: 4.0, 5: 8.0}) == [1.0, 3.0, 5.0, 7.0]
+    assert grade_ends({2: 2.0, 4: 6.0}) == [1.0, 3.0, 5.0, 7.0]
+    assert grade_ends({2: 2.0}) == [5.0, 8.0, 12.0, 16.0]
+
+
+def test_no_token_is_dropped(spark, frame):
+    docs = [(k, " ".join(f"word{chr(97 + k % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)} the" for j in range(200)) + ".") for k in range(30)]
+    models = train(frame(docs, "doc_id long, text string"), frame([(k, 1 + k % 5) for k in range(30)], "doc_id long, level int"))
+    assert sum(t.startswith("word") for t in models.tokens) == 26 * 200
