@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # Extensions of each language, names of barrel files, folders and endings that are not indexed.
 LANGUAGE_EXTENSIONS = {
-    "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py pyw", "go": "go", "rust": "rs", "java": "java", "c": "c h",
-    "cpp": "cpp cc cxx hpp hh hxx", "csharp": "cs", "ruby": "rb erb", "php": "php", "swift": "swift", "kotlin": "kt kts", "scala": "scala sc", "lua": "lua",
-    "elixir": "ex exs", "dart": "dart", "zig": "zig", "bash": "sh bash zsh", "ocaml": "ml mli", "objc": "m", "css": "css scss less", "html": "html htm",
-    "json": "json jsonc", "toml": "toml", "yaml": "yaml yml", "dockerfile": "dockerfile", "vue": "vue", "rescript": "res resi", "solidity": "sol", "tlaplus": "tla", "elisp": "el",
+    "typescript": ["ts", "tsx", "mts", "cts"], "javascript": ["js", "jsx", "mjs", "cjs"], "python": ["py", "pyw"], "go": ["go"], "rust": ["rs"], "java": ["java"], "c": ["c", "h"],
+    "cpp": ["cpp", "cc", "cxx", "hpp", "hh", "hxx"], "csharp": ["cs"], "ruby": ["rb", "erb"], "php": ["php"], "swift": ["swift"], "kotlin": ["kt", "kts"], "scala": ["scala", "sc"], "lua": ["lua"],
+    "elixir": ["ex", "exs"], "dart": ["dart"], "zig": ["zig"], "bash": ["sh", "bash", "zsh"], "ocaml": ["ml", "mli"], "objc": ["m"], "css": ["css", "scss", "less"], "html": ["html", "htm"],
+    "json": ["json", "jsonc"], "toml": ["toml"], "yaml": ["yaml", "yml"], "dockerfile": ["dockerfile"], "vue": ["vue"], "rescript": ["res", "resi"], "solidity": ["sol"], "tlaplus": ["tla"], "elisp": ["el"],
 }
 BARREL_FILES = ["index.ts", "index.tsx", "index.js", "mod.rs", "index.py", "__init__.py"]
 IGNORED_FOLDERS = ["node_modules", ".git", "dist", "build", "coverage", ".next", "nuxt", "vendor", "venv", "__pycache__", ".cache", "target", "out", ".idea", ".vscode"]
@@ -26,7 +26,7 @@ def language_of_path(path: Column) -> Column:
     (the latter only if the dot of x is the path's only one and x is no extension, as any path with a dot goes by it)."""
     name, dot = file_name(path), F.instr(path, ".") > 0
     ext = F.lower(F.substring_index(path, ".", -1))
-    known = F.create_map(*(F.lit(x) for lang, exts in LANGUAGE_EXTENSIONS.items() for e in exts.split() for x in (e, lang)))
+    known = F.create_map(*(F.lit(x) for lang, exts in LANGUAGE_EXTENSIONS.items() for e in exts for x in (e, lang)))
     bare = F.when((name == "Dockerfile") | name.startswith("Dockerfile."), "dockerfile").otherwise("unknown")
     return F.when(path.isNull(), None).when(dot, F.coalesce(F.try_element_at(known, ext), F.lit("unknown"))).otherwise(bare)
 
@@ -115,9 +115,17 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def is_public(name: Column, language: Column, exported: Column) -> Column:
-    """Whether a symbol counts as public: by capital in Go, by underscore in Python, else by export."""
-    return F.when(language == "go", name.rlike("^[A-Z]")).when(language == "python", ~name.startswith("_")).otherwise(exported)
+def is_public(name: Column, source_line: Column, language: Column) -> Column:
+    """Whether a symbol counts as public by the rule of its language: by the capital of its name, by ``pub``, by an
+    underscore, by words of privacy on its line; always where a language has no rule."""
+    line = F.ltrim(F.coalesce(source_line, F.lit("")))
+    private = line.rlike(r"(?<![A-Za-z0-9_])private(?![A-Za-z0-9_])")
+    return (
+        F.when(language == "go", name.rlike("^[A-Z]")).when(language.isin("rust", "zig"), line.startswith("pub "))
+        .when(language.isin("python", "dart"), ~name.startswith("_")).when(language.isin("java", "kotlin", "scala", "swift", "csharp"), ~private)
+        .when(language == "php", ~(private | line.rlike(r"(?<![A-Za-z0-9_])protected(?![A-Za-z0-9_])"))).when(language == "elixir", ~line.startswith("defp "))
+        .when(language == "elisp", ~name.startswith("--")).otherwise(True)
+    )
 
 
 def signature_of(lines: Column, line: Column, kind: Column) -> Column:

@@ -280,13 +280,37 @@ def unknown_names(template: Column, known: list[str]) -> Column:
     return F.array_except(template_names(template), F.array(*map(F.lit, known)))
 
 
+_FRONT = r"^---\s*\n((?s:.*?))\n---\s*\n"
+
+
 def frontmatter(text: Column) -> Column:
-    """Map of ``key: value`` lines between two ``---`` lines at the start of a text; empty without them."""
-    block = F.regexp_extract(text, r"^---\r?\n((?s:.*?))\r?\n---", 1)
-    pairs = F.filter(F.split(block, r"\r?\n"), lambda x: x.rlike(r"^[\w-]+\s*:"))
-    keys = F.transform(pairs, lambda x: F.regexp_extract(x, r"^([\w-]+)", 1))
-    values = F.transform(pairs, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[\w-]+\s*:", "")), "^[\"']|[\"']$", ""))
-    return F.map_from_entries(F.arrays_zip(keys.alias("k"), values.alias("v")))
+    """Map of the ``key: value`` lines between two ``---`` lines at the start of a text, values as they stand; the last
+    of equal keys counts, lines that begin with # do not; empty without such a block."""
+    block = F.regexp_extract(text, _FRONT, 1)
+    rows = F.transform(F.split(block, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    pairs = F.filter(rows, lambda x: x.rlike("^[^#:][^:]*:"))
+    part = lambda x, n: F.regexp_replace(F.regexp_extract(x, "(?s)^([^:]+):(.*)$", n), r"^\s+|\s+$", "")
+    each = F.transform(pairs, lambda x: F.struct(part(x, 1).alias("k"), part(x, 2).alias("v")))
+    last = F.filter(each, lambda x, i: ~F.exists(F.slice(each, i + 2, F.size(each)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
+
+
+def front_body(text: Column) -> Column:
+    """What follows the front matter, or the whole text without any."""
+    return F.regexp_replace(text, _FRONT, "")
+
+
+def unquoted(value: Column) -> Column:
+    q = (value.startswith('"') & value.endswith('"')) | (value.startswith("'") & value.endswith("'"))
+    return F.when(q, F.substring(value, F.lit(2), F.greatest(F.length(value) - 2, F.lit(0)))).otherwise(value)
+
+
+def front_list(value: Column) -> Column:
+    """A value as a list: ``[a, "b"]`` its parts, anything else itself, nothing for an empty one."""
+    inner = F.regexp_extract(value, r"^\[(.+)\]$", 1)
+    parts = F.filter(F.transform(F.split(inner, ","), lambda x: unquoted(F.trim(x))), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    return F.when(F.length(inner) > 0, parts).when(F.length(value) > 0, F.array(unquoted(value))).otherwise(none)
 
 
 def format_tokens(n: Column) -> Column:
@@ -300,6 +324,12 @@ def format_tokens(n: Column) -> Column:
     return F.when(n >= 1000, short).otherwise(n.cast("string"))
 
 
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Whole seconds, halves up, between two timestamps; 0 without a start."""
+    ms = F.unix_millis(end) - F.unix_millis(start)
+    return F.when(start.isNull(), 0).otherwise(F.floor(ms / 1000 + 0.5)).cast("long")
+
+
 def format_duration(seconds: Column) -> Column:
     m, s = F.floor(seconds / 60).cast("string"), F.pmod(seconds, F.lit(60)).cast("string")
     return F.when(seconds >= 60, F.concat(m, F.lit("m "), s, F.lit("s"))).otherwise(F.concat(s, F.lit("s")))
@@ -331,8 +361,20 @@ def escape_cypher(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
 
 
-def mermaid_id(text: Column) -> Column:
-    return F.regexp_replace(text, "[^A-Za-z0-9_]", "_")
+def graph_id(text: Column) -> Column:
+    """A text in word characters that does not begin with a digit."""
+    plain = F.regexp_replace(text, "[^A-Za-z0-9_]", "_")
+    return F.when(plain.rlike("^([0-9]|$)"), F.concat(F.lit("n_"), plain)).otherwise(plain)
+
+
+def mermaid_label(text: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit('"'), F.lit("#quot;")), F.lit("\n"), F.lit(" ")), F.lit('"'))
+
+
+def number_text(n: Column) -> Column:
+    """A number without a fraction of zeros."""
+    whole = (n == F.floor(n)) & (F.abs(n) < 1e15)
+    return F.when(whole, F.floor(n).cast("long").cast("string")).otherwise(n.cast("string"))
 
 
 def partial_match(text: Column, wanted: str) -> Column:
@@ -341,11 +383,25 @@ def partial_match(text: Column, wanted: str) -> Column:
     return F.when(F.lit(wanted == ""), 1).when(low == wanted.lower(), 2).when(F.instr(low, wanted.lower()) > 0, 1).otherwise(0)
 
 
-def comments_in(text: str) -> list[str]:
-    """Texts of block and line comments of a source text, line by line."""
-    out = []
-    for m in re.finditer(r"/\*([\s\S]*?)(?:\*/|\Z)|(?m:^|(?<=\s))(?://|#)(?!!)([^\r\n]*)", text):
-        for row in (m[1] if m[1] is not None else m[2]).splitlines():
-            if s := row.strip().lstrip("*/").strip():
-                out.append(s)
+_INTO = re.compile(r"^.*?/\*+\s*")
+
+
+def comments_in(text: str) -> list[tuple[str, str]]:
+    """(line, comment) of the lines that are comments, block or single, or part of one, both without blanks around
+    them. The line that opens a block counts by what follows its mark; a block open at the end is taken in."""
+    out, inside = [], False
+    for row in text.split("\n"):
+        line = row.strip()
+        if not inside and "/*" in line:
+            inside = True
+            after = _INTO.sub("", line, count=1)
+            if after and not after.startswith("*"):
+                out.append((line, re.sub(r"\*/\s*$", "", after).strip()))
+        if inside:
+            inside = "*/" not in line
+            body = re.sub(r"^\s*\*?\s*", "", re.sub(r"\*/.*$", "", line)).strip()
+            if body:
+                out.append((line, body))
+        elif m := re.match(r"(?://|#)\s*(.+)", line):
+            out.append((line, m[1].strip()))
     return out

@@ -14,11 +14,13 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from skeinwork.runtime import stored
 
 # Words that stay themselves, the pattern of a token, and the numbers of the signature.
-KEYWORDS = (
-    "if else for while do switch case break continue return throw try catch finally new delete typeof instanceof in of class extends implements interface enum const let var function async await yield "
-    "import export from default static public private protected abstract override readonly void null undefined true false this super def self fn pub mut impl struct trait mod use crate match loop "
-    "func go chan select defer range type package raise except pass lambda with as is not and or None True False"
-).split()
+KEYWORDS = [
+    "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "throw", "try", "catch", "finally", "new", "delete", "typeof", "instanceof", "in", "of",
+    "class", "extends", "implements", "interface", "enum", "const", "let", "var", "function", "async", "await", "yield", "import", "export", "from", "default", "static", "public",
+    "private", "protected", "abstract", "override", "readonly", "void", "null", "undefined", "true", "false", "this", "super", "def", "self", "fn", "pub", "mut", "impl", "struct",
+    "trait", "mod", "use", "crate", "match", "loop", "func", "go", "chan", "select", "defer", "range", "type", "package", "raise", "except", "pass", "lambda", "with", "as", "is",
+    "not", "and", "or", "None", "True", "False"
+]
 TOKEN = r"""[a-zA-Z_$][A-Za-z0-9_]*|0[xXbBoO][0-9a-fA-F_]+|[0-9][0-9_.]*(?:[eE][+-]?[0-9]+)?[fFdDlLuU]?|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|[^\sA-Za-z0-9_]"""
 HASHES, RUN, BANDS, ROWS, LEAST_TOKENS = 128, 3, 16, 8, 5
 WINDOW, LEAST_FRAGMENT = 12, 16

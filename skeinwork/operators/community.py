@@ -144,3 +144,11 @@ def surprises(edges: DataFrame, assignment: DataFrame, share: float = SURPRISE)
     a, b = assignment.select(F.col("node").alias("src"), F.col("community").alias("ca")), assignment.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
     light = edges.where(F.col("weight") <= F.lit(cut))
     return light.join(a, "src").join(b, "dst").where("ca <> cb").select("src", "dst", "weight")
+
+
+def community_report(edges: DataFrame, share: float = SURPRISE, rounds: int = ROUNDS) -> dict[str, DataFrame]:
+    """All three readings of one edge list (src, dst, weight), stored once: ``communities`` with their weights, ``members``,
+    ``bridges`` and ``surprises``."""
+    e = stored(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "edges")
+    members = stored(communities(e, rounds), "members")
+    return {"members": members, "communities": community_weights(e, members), "bridges": bridges(e), "surprises": surprises(e, members, share)}

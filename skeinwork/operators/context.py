@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from skeinwork.functions.paths import glob_pattern
-from skeinwork.functions.text import line_hash
+from skeinwork.functions.text import comments_in, line_hash, slop_category
 from skeinwork.operators.versioning import line_diff
 
 # Characters of a packed context, of its README, and below which no part of an item is worth adding;
@@ -124,6 +125,20 @@ def doc_line(lines: list[str], at: int) -> str | None:
     return None if len(text) < 5 else text if len(text) <= DOC_CHARS else text[: DOC_CHARS - 3] + "..."
 
 
+def unique_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """``base, name`` for names asked for (base) one by one, against names taken (name): the base, cut at 25 characters,
+    or the least ``-n`` of it that is not taken."""
+    cut = wanted.select("base", F.substring("base", 1, NAME_CHARS).alias("cut")).where("base is not null").distinct()
+    plain = taken.select("name").where("name is not null").distinct()
+    numbers = plain.select(F.regexp_extract("name", "^(.*)-[1-9][0-9]*$", 1).alias("cut"), F.regexp_extract("name", "-([1-9][0-9]*)$", 1).try_cast("long").alias("n")).where("n is not null and cut <> ''")
+    used = plain.select(F.col("name").alias("cut"), F.lit(0).cast("long").alias("n")).union(numbers)
+    # the least number missing is one more than a used one whose successor is not used
+    after = used.select("cut", (F.col("n") + 1).alias("n")).join(used, ["cut", "n"], "left_anti").groupBy("cut").agg(F.min("n").alias("free"))
+    held = plain.select(F.col("name").alias("cut"), F.lit(True).alias("held"))
+    got = cut.join(after, "cut", "left").join(held, "cut", "left")
+    return got.select("base", F.when(F.col("held"), F.concat("cut", F.lit("-"), F.col("free").cast("string"))).otherwise(F.col("cut")).alias("name"))
+
+
 def unique_name(taken: DataFrame, base: str) -> str:
     """``base``, cut, or the least ``-n`` of it that is not among ``taken`` (name)."""
     cut = base[:NAME_CHARS]
@@ -152,27 +167,75 @@ def best_match(rows: DataFrame, wanted: str, fields: list[str], order: str) -> D
 
 def read_answers(reads: DataFrame, most: int = DIFF_CHARS) -> DataFrame:
     """Reads of files (session_id, seq, path, mtime, content) with what is answered: ``full`` the first time, ``unchanged`` if the
-    mtime is that of the read before, ``delta`` with the difference if it is short, else ``full``."""
+    mtime is that of the read before, ``delta`` with the difference if there is one and it is short, else ``full``."""
     w = Window.partitionBy("session_id", "path").orderBy("seq")
     rows = reads.withColumn("_m", F.lag("mtime").over(w)).withColumn("_c", F.lag("content").over(w))
-    diff = F.udf(lambda a, b: None if a is None or b is None else line_diff(a, b), "string", useArrow=True)
     changed = F.col("_m").isNotNull() & (F.col("_m") != F.col("mtime"))
-    rows = rows.withColumn("delta", F.when(changed, diff("_c", "content")))
-    kind = F.when(F.col("_m").isNull(), "full").when(~changed, "unchanged").when((F.length("delta") > 0) & (F.length("delta") < most), "delta").otherwise("full")
-    return rows.withColumn("answer", kind).withColumn("delta", F.when(F.col("answer") == "delta", F.col("delta"))).drop("_m", "_c")
+    rows = rows.withColumn("_old", F.when(changed, F.col("_c"))).withColumn("_first", F.col("_m").isNull())
+    kept = [*reads.columns, "_first"]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("_diff", StringType()), StructField("_changed", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            diffs = [None if o is None or c is None else line_diff(o, c, p or "") for o, c, p in zip(*(batch.column(n).to_pylist() for n in ("_old", "content", "path")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(diffs, pa.string()), batch.column("_changed")], names=[*kept, "_diff", "_changed"])
+
+    rows = rows.withColumn("_changed", F.coalesce(changed, F.lit(False))).select(*reads.columns, "_first", "_old", "_changed").mapInArrow(run, schema)
+    kind = F.when(F.col("_first"), "full").when(~F.col("_changed"), "unchanged").when((F.length("_diff") > 0) & (F.length("_diff") < most), "delta").otherwise("full")
+    rows = rows.withColumn("answer", kind)
+    return rows.select(*reads.columns, "answer", F.when(F.col("answer") == "delta", F.col("_diff")).alias("delta"))
+
+
+def rolling_hash(text: Column) -> Column:
+    """The 32-bit rolling hash of a text's UTF-16 units, signed, in base 36; null for a null text."""
+    units = F.encode(text, "UTF-16BE")
+    pair = lambda k: F.conv(F.hex(F.substring(units, k * 2 + 1, 2)), 16, 10).cast("long")
+    steps = F.when(F.octet_length(units) > 0, F.sequence(F.lit(0), (F.octet_length(units) / 2 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    h = F.aggregate(steps, F.lit(0).cast("long"), lambda acc, k: (acc * 31 + pair(k)) % (1 << 32))
+    signed = F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
+    return F.when(text.isNotNull(), F.concat(F.when(signed < 0, "-").otherwise(""), F.lower(F.conv(F.abs(signed).cast("string"), 10, 36))))
+
+
+def symbol_docs(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, doc``: one line about each symbol (id, file_id, line) from its file's text (file_id, content), as ``doc_line`` reads it;
+    null where there is none or the line lies outside the text."""
+    s = symbols.where("id is not null and line > 0").groupBy("id").agg(F.min(F.struct("file_id", "line")).alias("s")).select("id", "s.*")
+    per = s.groupBy("file_id").agg(F.collect_list(F.struct("id", "line")).alias("at"))
+    rows = per.join(texts.where("content is not null").groupBy("file_id").agg(F.max("content").alias("content")), "file_id").select("at", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, docs = [], []
+            for at, text in zip(batch.column("at").to_pylist(), batch.column("content").to_pylist()):
+                lines = re.split(r"\r?\n", text)
+                for x in at:
+                    ids.append(x["id"])
+                    docs.append(doc_line(lines, x["line"] - 1) if x["line"] <= len(lines) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("at").type.value_type.field("id").type), pa.array(docs, pa.string())], names=["id", "doc"])
+
+    return rows.mapInArrow(run, f"id {dict(symbols.dtypes)['id']}, doc string")
+
 
+def comment_slop(texts: DataFrame, id: str = "id", text: str = "text", least: int = 2) -> DataFrame:
+    """Comments of code that add nothing: id, nth, category, line, warned. The first rule that a comment of five
+    characters or more meets counts, once per line and category; warned is whether the text has ``least`` of them."""
+    kind = dict(texts.dtypes)[id]
 
-def rolling_hash(text: str) -> str:
-    """The 32-bit rolling hash of a text's UTF-16 units, signed, in base 36."""
-    h = 0
-    for a, b in zip(*[iter(text.encode("utf-16-le", "surrogatepass"))] * 2):
-        h = (h * 31 + a + 256 * b) & 0xFFFFFFFF
-    h -= (h & 0x80000000) << 1
-    digits, n = "", abs(h)
-    while n:
-        n, d = divmod(n, 36)
-        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + digits
-    return ("-" if h < 0 else "") + (digits or "0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                for k, (line, comment) in enumerate(comments_in(t)):
+                    for col, v in zip(cols, (i, k, line, comment)):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema.field("id").type, pa.int32(), pa.string(), pa.string()))], names=["id", "k", "line", "comment"])
+
+    rows = texts.select(F.col(id).alias("id"), F.col(text).alias("text")).where("text is not null").mapInArrow(run, f"id {kind}, k int, line string, comment string")
+    found = rows.withColumn("category", slop_category(F.col("comment"))).where("category is not null")
+    once = found.groupBy("id", "category", "line").agg(F.min("k").alias("k"))
+    n = once.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    short = F.when(F.length("line") > 120, F.concat(F.substring("line", 1, 120), F.lit("…"))).otherwise(F.col("line"))
+    return once.join(n, "id").select("id", "k", "category", short.alias("line"), (F.col("n") >= least).alias("warned"))
 
 
 def message_text(role: Column, parts: Column) -> Column:
@@ -182,9 +245,31 @@ def message_text(role: Column, parts: Column) -> Column:
     return F.concat(role, F.lit(": "), F.array_join(rows, "\n"))
 
 
-def live_loops_of(rows: DataFrame, now: int, prefix: str = "loop:") -> DataFrame:
-    """Loops kept as JSON under keys with a prefix, unexpired: key, name, active, phase, iteration, started."""
-    schema = "name string, active boolean, phase string, iteration int, startedAt string"
-    j = F.from_json("data", schema)
+def _kept_json(rows: DataFrame, project: str | None, prefix: str, now: int, schema: str) -> DataFrame:
     hit = rows.where(F.col("key").startswith(prefix) & (F.col("expires_at") > now))
-    return hit.select("key", j["name"].alias("name"), F.coalesce(j["active"], F.lit(False)).alias("active"), j["phase"].alias("phase"), j["iteration"].alias("iteration"), F.try_to_timestamp(j["startedAt"]).alias("started"))
+    if project is not None:
+        hit = hit.where(F.col("project_id") == project)
+    return hit.select("key", F.from_json("data", schema).alias("j"))
+
+
+def loop_states(rows: DataFrame, now: int, project: str | None = None, prefix: str = "loop:") -> DataFrame:
+    """Loops kept as JSON under keys with a prefix, unexpired, that have a name and a session: key, name, session_id,
+    active, phase (coding if absent), iteration, most_iterations (0 if absent), started, tokens, cost."""
+    j = "loopName string, sessionId string, active boolean, phase string, iteration int, maxIterations int, startedAt string, totalTokens long, totalCostUsd double"
+    got = _kept_json(rows, project, prefix, now, j).where("length(j.loopName) > 0 and length(j.sessionId) > 0")
+    none = lambda c, v: F.coalesce(F.col(f"j.{c}"), F.lit(v))
+    return got.select("key", F.col("j.loopName").alias("name"), F.col("j.sessionId").alias("session_id"), none("active", False).alias("active"), none("phase", "coding").alias("phase"), none("iteration", 0).alias("iteration"), none("maxIterations", 0).alias("most_iterations"), F.try_to_timestamp(F.col("j.startedAt")).alias("started"), F.col("j.totalTokens").alias("tokens"), F.col("j.totalCostUsd").alias("cost"))
+
+
+def open_tasks(tasks: DataFrame, limit: int = 20) -> DataFrame:
+    """The last pending and running tasks (id, target_agent, status, summary, created_at)."""
+    return tasks.where(F.col("status").isin("pending", "running")).orderBy(F.desc("created_at"), "id").limit(limit).select("id", "target_agent", "status", "summary")
+
+
+def fresh_budgets(rows: DataFrame, now: int, project: str | None = None, session: str | None = None, fresh: int = 600_000) -> DataFrame:
+    """Budget snapshots kept as JSON under ``budget:`` keys, unexpired and updated within ten minutes: key, agent, session_id, updated_at, turns, tokens."""
+    j = "agent string, sessionId string, updatedAt long, state struct<turns:long, tokensUsed:long>"
+    got = _kept_json(rows, project, "budget:", now, j).where("length(j.agent) > 0 and length(j.sessionId) > 0").where(F.col("j.updatedAt") >= now - fresh)
+    if session is not None:
+        got = got.where(F.col("j.sessionId") == session)
+    return got.select("key", "j.agent", F.col("j.sessionId").alias("session_id"), F.col("j.updatedAt").alias("updated_at"), F.col("j.state.turns").alias("turns"), F.col("j.state.tokensUsed").alias("tokens"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.paths import is_test_like, tested_path
+from skeinwork.runtime import stored
 
 # Endings tried for an import in order, then index files; weights and tiers of edges.
 IMPORT_ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -127,20 +128,51 @@ def apply_changes(table: DataFrame, changed: DataFrame, removed: DataFrame, key:
     return table.join(gone, key, "left_anti").unionByName(changed, allowMissingColumns=True)
 
 
+def unique_symbols(symbols: DataFrame, outline: DataFrame | None = None) -> DataFrame:
+    """Symbols of each file once by line, name and kind, the one of the least id; with an outline, exported if it says so."""
+    once = symbols.groupBy("file_id", "line", "name", "kind").agg(F.min_by(F.struct("id", "end_line", "is_exported"), "id").alias("s")).select("s.id", "file_id", "name", "kind", "line", "s.end_line", "s.is_exported")
+    if outline is None:
+        return once
+    named = outline.where("exported").select("file_id", "name").distinct().withColumn("_x", F.lit(True))
+    return once.drop("is_exported").join(named, ["file_id", "name"], "left").withColumn("is_exported", F.coalesce("_x", F.lit(False))).drop("_x")
+
+
 class CodeGraph:
     """All passes in the order of a full build: references, edges, rank, tests, calls, co-changes, rescue.
-    The rank is computed before the edges of tests and rescue exist."""
+    The rank is computed before the edges of tests and rescue exist. ``lines`` is file_id, line, text."""
 
     def __init__(self, files: DataFrame, symbols: DataFrame, refs: DataFrame, lines: DataFrame, commits: DataFrame):
         from skeinwork.operators.cooccurrence import cooccurring
-        from skeinwork.operators.rank import pagerank
 
-        self.refs = resolve_refs(refs, symbols, files)
-        edges = weighted_edges(self.refs)
-        ends = edges.select(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst"), "weight")
-        self.ranks = pagerank(files.select(F.col("id").alias("node")), ends)
-        edges = replace_edges(edges, test_edges(files))
+        self._index(files, symbols, refs, lines)
+        edges = replace_edges(self.edges, test_edges(files))
         self.calls = call_graph(symbols, self.refs, lines)
         pairs = cooccurring(commits, "commit", "file_id")
         self.cochanges = pairs.select(F.col("item_a").alias("file_id_a"), F.col("item_b").alias("file_id_b"), F.col("together").alias("count"))
-        self.edges = edges.unionByName(rescue_edges(files, edges, self.cochanges))
+        self.edges = stored(edges.unionByName(rescue_edges(files, edges, self.cochanges)), "edges")
+
+    def _index(self, files: DataFrame, symbols: DataFrame, refs: DataFrame, lines: DataFrame) -> None:
+        from skeinwork.operators.rank import pagerank
+
+        self.files, self.symbols, self.open_refs, self.lines = files, symbols, refs, lines
+        self.refs = stored(resolve_refs(refs, symbols, files), "refs")
+        self.edges = weighted_edges(self.refs)
+        ends = self.edges.select(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst"), "weight")
+        self.ranks = pagerank(files.select(F.col("id").alias("node")), ends)
+
+    def changed(self, files: DataFrame, symbols: DataFrame, refs: DataFrame, lines: DataFrame, removed: DataFrame) -> CodeGraph:
+        """The graph after some files (their new rows, and those of their symbols, references and lines) were written and others
+        (file_id) removed: references, edges, rank and calls are made anew. Edges of tests and of rescue, and co-changes, stay as they
+        were as long as both their ends do; an edge made anew takes the place of one with the same ends."""
+        gone = files.select(F.col("id").alias("file_id")).union(removed.select("file_id")).distinct()
+        other = lambda old, new, key="file_id": stored(old.join(gone.withColumnRenamed("file_id", key), key, "left_anti").unionByName(new, allowMissingColumns=True), "changed")
+        after = CodeGraph.__new__(CodeGraph)
+        after._index(other(self.files, files, "id"), other(self.symbols, symbols), other(self.open_refs, refs), other(self.lines, lines))
+        here = after.files.select(F.col("id").alias("source_file_id")).distinct()
+        kept = self.edges.join(here, "source_file_id", "left_semi").join(here.withColumnRenamed("source_file_id", "target_file_id"), "target_file_id", "left_semi")
+        made = self.edges.select("source_file_id", "target_file_id").join(weighted_edges(self.refs).select("source_file_id", "target_file_id"), ["source_file_id", "target_file_id"], "left_semi")
+        kept = kept.join(made, ["source_file_id", "target_file_id"], "left_anti").select("source_file_id", "target_file_id", "weight", "confidence")
+        after.edges = stored(replace_edges(kept, after.edges), "edges")
+        after.calls = call_graph(after.symbols, after.refs, after.lines)
+        after.cochanges = self.cochanges
+        return after

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.paths import is_test_like, is_test_path
+from skeinwork.functions.text import clamp, squash
+from skeinwork.operators.traverse import reach, strong_components
+from skeinwork.runtime import stored
 
 
 def graph_stats(**tables: DataFrame) -> DataFrame:
@@ -105,14 +110,41 @@ def nth_value(counts: DataFrame, value: str, n: str, position) -> object:
             rows, at = rows.where(F.col(value) > middle), at - held
 
 
-def symbol_references(refs: DataFrame, calls: DataFrame, symbols: DataFrame, files: DataFrame, name: str, limit: int = 50) -> DataFrame:
+def symbol_references(refs: DataFrame, calls: DataFrame, symbols: DataFrame, files: DataFrame, name: str, limit: int | None = 50) -> DataFrame:
     """Where a name is imported, called, or exported again from a barrel: kind, file_id, line."""
     imports = refs.where(F.col("name") == name).select(F.lit("import").alias("kind"), "file_id", F.lit(None).cast("int").alias("line"))
     s = symbols.select(F.col("id").alias("caller_symbol_id"), "file_id").distinct()
     made = calls.where(F.col("callee_name") == name).join(s, "caller_symbol_id").select(F.lit("call").alias("kind"), "file_id", "line")
     barrels = files.where("is_barrel").select(F.col("id").alias("file_id")).distinct()
     again = refs.where(F.col("name") == name).join(barrels, "file_id", "left_semi").select(F.lit("re-export").alias("kind"), "file_id", F.lit(None).cast("int").alias("line"))
-    return imports.unionByName(made).unionByName(again).distinct().orderBy("kind", "file_id", "line").limit(limit)
+    out = imports.unionByName(made).unionByName(again).distinct()
+    return out.orderBy("kind", "file_id", "line").limit(limit) if limit else out
+
+
+def search_symbols(symbols: DataFrame, files: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
+    """``id, score`` of the symbols whose name, path and kind together hold every word of the query, best BM25 first. Words are
+    runs of letters and digits in any case; one that ends in ``*`` is the beginning of a word. A query with an odd number of double
+    quotes, or without words, finds nothing."""
+    words = re.findall(r"([a-z0-9]+)(\*?)", query.lower())
+    base = symbols.select("id", "file_id", "name", "kind").distinct().join(files.select(F.col("id").alias("file_id"), "path").distinct(), "file_id")
+    if not words or query.count('"') % 2:
+        return base.select("id", F.lit(0.0).alias("score")).limit(0)
+    base = base.select("id", F.filter(F.split(F.lower(F.concat_ws(" ", "name", "path", "kind")), "[^a-z0-9]+"), lambda w: w != "").alias("w"))
+    count = lambda q, star: F.size(F.filter("w", lambda x: x.startswith(q) if star else x == q))
+    counted = stored(base.select("id", F.size("w").alias("n"), *(count(q, star).alias(f"t{i}") for i, (q, star) in enumerate(words))), "counted")
+    stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.sum((F.col(f"t{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(words))))
+    score = F.lit(0.0)
+    for i in range(len(words)):
+        idf = F.log(1 + (F.col("docs") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
+        score = score + idf * F.col(f"t{i}") * 2.2 / (F.col(f"t{i}") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
+    out = counted.where(" and ".join(f"t{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+    return out.orderBy(F.desc("score"), "id").limit(limit) if limit else out
+
+
+def signature_at(symbols: DataFrame, files: DataFrame, path: str, line: int) -> DataFrame:
+    """The symbol at a line of a path: id, name, kind, signature."""
+    f = files.where(F.col("path") == path).select(F.col("id").alias("file_id")).distinct()
+    return symbols.join(f, "file_id").where(F.col("line") == line).select("id", "name", "kind", "signature").distinct()
 
 
 def unused_exports(symbols: DataFrame, refs: DataFrame) -> DataFrame:
@@ -134,9 +166,10 @@ def external_packages(imports: DataFrame) -> DataFrame:
 
 
 def duplicate_shapes(shapes: DataFrame) -> DataFrame:
-    """Shape hashes that occur more than once, with their places: shape_hash, places, copies."""
-    place = F.struct("file_id", "line", "name")
-    return shapes.groupBy("shape_hash").agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list(place)).alias("places")).where("copies > 1")
+    """The places of shapes (file_id, name, line, shape_hash, node_count) that occur more than once: shape_hash, copies, node_count,
+    file_id, name, line. A row a place, as a shape may have any number of them."""
+    sizes = shapes.where("shape_hash is not null").groupBy("shape_hash").agg(F.count(F.lit(1)).alias("copies"), F.max("node_count").alias("node_count")).where("copies > 1")
+    return shapes.drop("node_count").join(sizes, "shape_hash").select("shape_hash", "copies", "node_count", "file_id", "name", "line")
 
 
 def rendered_map(files: DataFrame, symbols: DataFrame, top: int = 20, each: int = 5) -> DataFrame:
@@ -153,8 +186,67 @@ def health(stats: DataFrame) -> DataFrame:
     return stats.withColumn("healthy", ~bad)
 
 
-def suggested_questions(candidates: DataFrame, each: int = 2, limit: int = 5) -> DataFrame:
-    """``kind, text, score, path``: at most ``each`` of a kind by ``nth``, each text once, best score first."""
-    few = candidates.withColumn("_k", F.row_number().over(Window.partitionBy("kind").orderBy("nth"))).where(F.col("_k") <= each)
-    once = few.groupBy("text").agg(F.max_by(F.struct("kind", "path"), "score").alias("s"), F.max("score").alias("score"))
-    return once.select("s.kind", "text", "score", "s.path").orderBy(F.desc("score"), "path", "text").limit(limit)
+def question_candidates(surprises: DataFrame, bridges: DataFrame, untested: DataFrame, flows: DataFrame, each: int = 2) -> DataFrame:
+    """``kind, nth, text, score, path, other``: the first ``each`` of every kind, by their ``nth``.
+
+    ``surprises`` and ``bridges`` are nth, src, dst (paths), weight; ``untested`` nth, name, path, pagerank; ``flows`` nth, entry_name, entry_kind,
+    entry_path, weight, steps, last_name, last_path, of which those of three steps or more count."""
+    base = lambda c: F.regexp_replace(c, r"^.*[/\\\\]", "")
+    tick = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    kinds = {
+        "surprise": (surprises, F.concat(F.lit("Why does "), tick(base(F.col("src"))), F.lit(" call "), tick(base(F.col("dst"))), F.lit("? It looks like an out-of-module dependency.")), 1 - squash(F.col("weight")), "src", "dst"),
+        "bridge": (bridges, F.concat(tick(base(F.col("src"))), F.lit(" is a bridge between modules — what blast radius would breaking it cause?")), squash(F.col("weight")), "src", "dst"),
+        "untested": (untested, F.concat(tick(F.col("name")), F.lit(" in "), tick(base(F.col("path"))), F.lit(" is a high-PageRank symbol with no tests — should we add coverage?")), clamp(F.col("pagerank")), "path", None),
+        "flow": (flows.where("steps >= 3"), F.concat(F.lit("Walk me through the "), tick(F.col("entry_name")), F.lit(" "), F.col("entry_kind"), F.lit(" flow (ends in "), tick(F.col("last_name")), F.lit(").")), clamp(F.col("weight")), "entry_path", "last_path"),
+    }
+    out = None
+    for kind, (df, text, score, path, other) in kinds.items():
+        one = df.orderBy("nth").limit(each).select(F.lit(kind).alias("kind"), F.col("nth").cast("long").alias("nth"), text.alias("text"), score.cast("double").alias("score"), F.col(path).alias("path"), (F.col(other) if other else F.lit(None).cast("string")).alias("other"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def suggested_questions(candidates: DataFrame, limit: int = 5) -> DataFrame:
+    """``kind, text, score, path`` of candidates, each text once, best score first, then by path and text."""
+    best = Window.partitionBy("text").orderBy(F.desc("score"), "path")
+    once = candidates.withColumn("_k", F.row_number().over(best)).where("_k = 1")
+    return once.select("kind", "text", "score", "path").orderBy(F.desc("score"), "path", "text").limit(limit)
+
+
+def symbol_radius(calls: DataFrame, symbols: DataFrame, name: str, max_depth: int = 5) -> DataFrame:
+    """``id, depth`` of the symbols that call the first symbol of a name (that of the least id), directly or through others; who calls
+    a symbol is told by its name alone."""
+    s = symbols.select("id", "name").where("id is not null").distinct()
+    root = s.where(F.col("name") == name).agg(F.min("id").alias("node")).where("node is not null")
+    back = calls.select(F.col("caller_symbol_id").alias("dst"), F.col("callee_name").alias("name")).join(s, "name").select(F.col("id").alias("src"), "dst")
+    return reach(back, root, max_depth).where("depth > 0").select(F.col("node").alias("id"), "depth")
+
+
+def call_cycles(calls: DataFrame, symbols: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Cycles of calls: cycle, nth, id, length. Symbols that call each other in a ring form groups; of every group the shortest ring
+    through its least symbol is given, of equal ones that of the lesser steps from the end back, and begins and ends with it. A callee is
+    found by name and file. Groups come by their least symbol, the first ``limit``."""
+    s = symbols.select("id", F.col("name").alias("callee_name"), F.col("file_id").alias("callee_file_id")).where("id is not null").distinct()
+    e = calls.where("caller_symbol_id is not null").join(s, ["callee_name", "callee_file_id"]).select(F.col("caller_symbol_id").alias("src"), F.col("id").alias("dst")).distinct()
+    e = stored(e, "calls")
+    loops = e.where("src = dst").select("src")
+    comp = strong_components(e)
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("root"))
+    rings = sizes.join(loops.select(F.col("src").alias("root")), "root", "left_semi").select("component", "root").union(sizes.where("n > 1").select("component", "root")).distinct()
+    if limit:
+        rings = rings.orderBy("root").limit(limit)
+    rings = stored(rings, "rings")
+    c = comp.join(rings.select("component"), "component", "left_semi")
+    inner = e.join(c.select(F.col("node").alias("src"), "component"), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst").where("component = _c")
+    inner = stored(inner.select("component", "src", "dst"), "inner")
+    depth = stored(reach(inner, rings.select("component", F.col("root").alias("node")), keys=["component"]), "depths")
+    # back from the root: the nearest symbol that calls it, then ever nearer ones
+    last = inner.join(rings, "component").where("dst = root").join(depth.withColumnRenamed("node", "src"), ["component", "src"])
+    at = stored(last.groupBy("component", "root").agg(F.min(F.struct("depth", "src")).alias("m")).select("component", "root", F.col("m.src").alias("node"), F.col("m.depth").alias("depth"), (F.col("m.depth") + 2).alias("length")), "ends")
+    steps = at.select("root", (F.col("depth") + 1).alias("nth"), "node", "length").union(at.select("root", F.col("depth") + 2, "root", "length"))
+    while at.where("depth > 0").limit(1).count():
+        before = at.where("depth > 0").join(inner, (at.component == inner.component) & (at.node == inner.dst)).select(at.component, "root", "src", F.col("depth").alias("_d"), "length")
+        before = before.join(depth.select("component", F.col("node").alias("src"), "depth"), ["component", "src"]).where("depth = _d - 1")
+        at = stored(before.groupBy("component", "root", "depth", "length").agg(F.min("src").alias("node")), "ends")
+        steps = steps.union(at.select("root", (F.col("depth") + 1).alias("nth"), "node", "length"))
+    return steps.select(F.col("root").alias("cycle"), "nth", F.col("node").alias("id"), "length")

@@ -29,10 +29,11 @@ def get(rows: DataFrame, project: str, key: str, now: Column | int) -> DataFrame
     return visible(rows, now).where((F.col("project_id") == project) & (F.col("key") == key))
 
 
-def list_keys(rows: DataFrame, project: str, now: Column | int, prefix: str = "") -> DataFrame:
-    """Visible rows of a project whose key starts with ``prefix``, literally, the last written first."""
-    hit = visible(rows, now).where((F.col("project_id") == project) & F.col("key").startswith(prefix))
-    return hit.orderBy(F.desc("updated_at"), "key")
+def list_keys(rows: DataFrame, project: str, now: Column | int, prefix: str = "", wild: bool = False) -> DataFrame:
+    """Visible rows of a project whose key starts with ``prefix``, the last written first: literally or, if ``wild``, with ``_`` for any
+    character, ``%`` for any number of them, and letters in any case."""
+    starts = F.col("key").ilike(prefix + "%") if wild else F.col("key").startswith(prefix)
+    return visible(rows, now).where((F.col("project_id") == project) & starts).orderBy(F.desc("updated_at"), "key")
 
 
 def purge(rows: DataFrame, now: Column | int) -> DataFrame:
@@ -73,6 +74,16 @@ def findings(rows: DataFrame, file: str | None = None, pattern: str | None = Non
     return out.withColumn("file", F.regexp_extract("key", r"^review-finding:(.*):\d+$", 1)).withColumn("line", F.regexp_extract("key", r":(\d+)$", 1).try_cast("int"))
 
 
+def branch_findings(rows: DataFrame, branch: str) -> DataFrame:
+    """Findings whose data names a branch."""
+    return findings(rows).where(F.get_json_object("data", "$.branch") == branch)
+
+
+def ended(states: DataFrame, at: str) -> DataFrame:
+    """Loop states (name, active, ...) of a store whose host has gone: those active end at a time, for a shutdown."""
+    return states.withColumn("completed", F.when(F.col("active"), F.lit(at))).withColumn("reason", F.when(F.col("active"), "shutdown")).withColumn("active", F.lit(False))
+
+
 def archived(text: Column) -> Column:
     """Struct of an output's preview, whether it is long enough to be archived, its size and its id."""
     lines = F.split(text, "\n")

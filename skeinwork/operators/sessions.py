@@ -6,6 +6,7 @@ a bounded ring, only the ring is gathered.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,16 +85,59 @@ def quality(chars: Column, reads: Column, stale: Column, large: Column, referenc
     return F.struct(score.alias("score"), grade.alias("grade"))
 
 
-def nudges(scores: list[tuple[int, int, bool]], threshold: int = 60, cooldown: int = 300_000, most: int = 10) -> list[bool]:
-    """Whether each (time, score, compacted since) brings a nudge: below the threshold, not right after a
-    compaction, not within the cooldown of the last, at most ``most``."""
-    out, last, count = [], None, 0
-    for at, score, compacted in scores:
-        go = not compacted and count < most and (last is None or at - last >= cooldown) and score < threshold
-        if go:
-            last, count = at, count + 1
-        out.append(go)
-    return out
+def nudges(checks: DataFrame, threshold: int = 60, cooldown: int = 300_000, most: int = 10) -> DataFrame:
+    """Quality checks (session_id, at, score, compacted: whether since the check before) with ``nudge``: below the threshold,
+    not right after a compaction, not within the cooldown of the last nudge, at most ``most`` a session. A nudge depends on those before
+    it, so only checks that can bring one are folded, a session's in one task."""
+    kind = dict(checks.dtypes)["session_id"]
+    able = checks.where((F.col("score") < threshold) & ~F.coalesce("compacted", F.lit(False)) & F.col("at").isNotNull()).select("session_id", "at").distinct()
+
+    def fold(key: tuple, group: pa.Table) -> pa.Table:
+        out, last = [], None
+        for at in sorted(group.column("at").to_pylist()):
+            if len(out) < most and (last is None or at - last >= cooldown):
+                out.append(at)
+                last = at
+        return pa.table({"session_id": pa.array([key[0].as_py()] * len(out), key[0].type), "at": pa.array(out, pa.int64())})
+
+    hit = able.select("session_id", F.col("at").cast("long").alias("at")).groupBy("session_id").applyInArrow(fold, f"session_id {kind}, at long").withColumn("_n", F.lit(True))
+    can = (F.col("score") < threshold) & ~F.coalesce("compacted", F.lit(False))
+    return checks.join(hit, ["session_id", "at"], "left").withColumn("nudge", F.coalesce(F.col("_n") & can, F.lit(False))).drop("_n")
+
+
+def quality_checkpoints(scores: DataFrame, key: str, order: list[str], score: str, marks: list[int] = QUALITY_MARKS) -> DataFrame:
+    """``key, mark`` and the order columns of the first row at which a session's score lies below each mark."""
+    rows = scores.withColumn("mark", F.explode(F.array(*map(F.lit, marks)))).where(F.col(score) < F.col("mark"))
+    return rows.groupBy(key, "mark").agg(*(F.min_by(c, F.struct(*order)).alias(c) for c in order))
+
+
+def recent_values(rows: DataFrame, key: str, order: list[str], value: str, n: int = 50) -> DataFrame:
+    """The last ``n`` distinct values of each key by the time they were first seen: key, value, place."""
+    first = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(F.struct(*order)).alias("_at"))
+    w = Window.partitionBy(key).orderBy(F.desc("_at"), value)
+    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).drop("_at")
+
+
+# Retries of each kind of error, and the least and greatest pause in milliseconds.
+CONTEXT_RETRIES, TIMEOUT_RETRIES, OVERLOAD_RETRIES, FIRST_PAUSE, LONGEST_PAUSE = 2, 3, 3, 1000, 30_000
+
+
+def recovery_log(errors: DataFrame, context: int = CONTEXT_RETRIES, timeout: int = TIMEOUT_RETRIES, overload: int = OVERLOAD_RETRIES, first: int = FIRST_PAUSE, longest: int = LONGEST_PAUSE) -> DataFrame:
+    """What is done about the errors (call_id, seq, kind, message) of model calls: call_id, seq, action, detail, success. An error is met
+    by another try while its kind has tries left: after compaction where the context is full, after a pause that doubles
+    with every timeout, or a pause by the number of overloads. Other errors end the call; what comes after the end counts no more."""
+    w = Window.partitionBy("call_id", "kind").orderBy("seq")
+    rows = errors.withColumn("k", F.row_number().over(w))
+    most = F.when(F.col("kind") == "context_window", context).when(F.col("kind") == "timeout", timeout).when(F.col("kind") == "overloaded", overload).otherwise(0)
+    rows = rows.withColumn("most", most).withColumn("over", F.col("k") > F.col("most"))
+    ends = rows.where("over").groupBy("call_id").agg(F.min("seq").alias("end"))
+    rows = rows.join(ends, "call_id", "left").where("end is null or seq <= end")
+    action = F.expr("CASE kind WHEN 'context_window' THEN CASE WHEN over THEN 'context_window_fallback' ELSE 'compaction_retry' END WHEN 'timeout' THEN 'timeout_backoff' WHEN 'overloaded' THEN 'overload_backoff' ELSE 'provider_fallback' END")
+    pause = F.least(F.when(F.col("kind") == "timeout", F.lit(first) * F.pow(F.lit(2), F.col("k") - 1)).otherwise(F.lit(first) * F.pow(F.lit(2), F.col("k"))), F.lit(longest)).cast("long")
+    tried = F.concat(F.lit("attempt "), F.col("k").cast("string"), F.lit("/"), F.col("most").cast("string"))
+    spent = F.concat(F.lit("exhausted "), F.expr("CASE kind WHEN 'context_window' THEN 'context' WHEN 'timeout' THEN 'timeout' ELSE 'overload' END"), F.lit(" retries"))
+    detail = F.when(action == "provider_fallback", F.col("message")).when(F.col("over"), spent).when(F.col("kind") == "context_window", tried).otherwise(F.concat(tried, F.lit(", backoff "), pause.cast("string"), F.lit("ms")))
+    return rows.select("call_id", "seq", action.alias("action"), detail.alias("detail"), (~F.col("over")).alias("success"))
 
 
 def fill_checkpoints(messages: DataFrame, key: str, order: list[str], chars: Column, marks: list[int] = FILL_MARKS, tokens: int = CHECKPOINT_TOKENS) -> DataFrame:

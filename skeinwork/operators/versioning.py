@@ -74,6 +74,12 @@ def skippable(paths: DataFrame, unchanged: DataFrame) -> DataFrame:
     return up.join(unchanged.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path").distinct()
 
 
+def stat_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: by how much each count of ``after`` (one row of counts) exceeds that of ``before``."""
+    names = after.columns
+    return before.select(*(F.col(c).alias(f"_{c}") for c in names)).crossJoin(after).select(*((F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in names))
+
+
 def seed_is_valid(counts: DataFrame) -> DataFrame:
     """Whether a copied index can be used: rows and fingerprint agree with what was recorded (files, recorded_files,
     fingerprint, recorded_fingerprint)."""
@@ -81,23 +87,75 @@ def seed_is_valid(counts: DataFrame) -> DataFrame:
 
 
 def scan_reason(state: DataFrame) -> DataFrame:
-    """Why an index has to be built anew at the start, the first of: never indexed, empty, unhealthy, fingerprint; null if not."""
-    reason = F.when(F.col("indexed_at").isNull(), "never indexed").when(F.col("files") == 0, "empty").when(~F.col("healthy"), "unhealthy").when(~F.col("fingerprint").eqNullSafe(F.col("recorded_fingerprint")), "changed")
-    return state.withColumn("reason", reason)
-
-
-def line_diff(old: str, new: str, ahead: int = 10, context: int = 3) -> str:
-    """A line diff by greedy look-ahead: at a difference the nearest line, up to ``ahead`` on, at which both go on
-    alike decides what was removed and added; ``context`` equal lines are kept around changes."""
-    a, b, i, j, ops = old.split("\n"), new.split("\n"), 0, 0, []
+    """``state`` with ``scan`` and ``reason``: whether an index has to be built anew at the start, by the first rule that holds.
+
+    State has recorded (whether there is a record of the index), files, symbols, edges and calls of the index, files_now and latest_now
+    of the folder, and files_then and latest_then as recorded, the last two null in records of old."""
+    rules = [
+        (~F.col("recorded"), True, "no record"), ((F.col("files") == 0) & (F.col("files_now") > 0), True, "empty index"), (F.col("files") == 0, False, "empty folder"),
+        (F.col("files_then").isNull() | F.col("latest_then").isNull(), True, "no fingerprint"), (F.col("files_now") != F.col("files_then"), True, "other number of files"), (F.col("latest_now") > F.col("latest_then"), True, "later changes"),
+        ((F.col("files") >= 50) & (F.col("symbols") >= 500) & (F.col("edges") == 0) & (F.col("calls") == 0), True, "unhealthy"),
+    ]
+    out = F.struct(F.lit(False).alias("scan"), F.lit("fresh").alias("reason"))
+    for rule, scan, reason in reversed(rules):
+        out = F.when(rule, F.struct(F.lit(scan).alias("scan"), F.lit(reason).alias("reason"))).otherwise(out)
+    return state.withColumn("_r", out).select(*state.columns, F.col("_r.scan").alias("scan"), F.col("_r.reason").alias("reason"))
+
+
+class _Hunks:
+    """Hunks of a line diff in the making: up to three equal lines before a change, and after it until three are together."""
+
+    def __init__(self, context: int):
+        self.context, self.done, self.rows, self.ahead = context, [], [], []
+        self.at = (1, 1)
+
+    def equal(self, row: str) -> None:
+        self.ahead.append(row)
+        if not self.rows:
+            del self.ahead[: -self.context]
+            return
+        self.rows.append(" " + row)
+        if len(self.ahead) >= self.context:
+            self.close()
+            self.ahead = []
+
+    def change(self, i: int, j: int, rows: list[str]) -> None:
+        if not self.rows:
+            self.at = (i - len(self.ahead) + 1, j - len(self.ahead) + 1)
+            self.rows = [" " + r for r in self.ahead]
+        self.ahead = []
+        self.rows += rows
+
+    def close(self) -> None:
+        if self.rows:
+            old, new = (sum(r[0] != x for r in self.rows) for x in "+-")
+            self.done += [f"@@ -{self.at[0]},{old} +{self.at[1]},{new} @@", *self.rows]
+        self.rows = []
+
+
+def line_diff(old: str, new: str, path: str = "file", ahead: int = 10, context: int = 3) -> str:
+    """A unified diff of two texts, '' if they are equal. At a difference the old line is looked for among the next
+    ``ahead`` new ones, then the new line among the old; what lies before a find is added or removed, and
+    without one both lines are replaced. It is no shortest diff. A hunk ends after three equal lines that follow
+    each other in it; those are not repeated before the next."""
+    a, b, i, j, out = old.split("\n"), new.split("\n"), 0, 0, _Hunks(context)
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i] == b[j]:
-            ops.append((" ", a[i]))
+            out.equal(a[i])
             i, j = i + 1, j + 1
             continue
-        meet = next(((x, s - x) for s in range(1, 2 * ahead + 1) for x in range(max(0, s - ahead), min(s, ahead) + 1) if i + x < len(a) and j + s - x < len(b) and a[i + x] == b[j + s - x]), None)
-        x, y = meet if meet else (min(1, len(a) - i), min(1, len(b) - j))
-        ops += [("-", r) for r in a[i : i + x]] + [("+", r) for r in b[j : j + y]]
-        i, j = i + x, j + y
-    near = {k + d for k, (op, _) in enumerate(ops) if op != " " for d in range(-context, context + 1)}
-    return "\n".join(op + r for k, (op, r) in enumerate(ops) if k in near)
+        if i >= len(a):
+            out.change(i, j, ["+" + b[j]])
+            j += 1
+            continue
+        if (k := next((k for k in range(j, min(j + ahead, len(b))) if b[k] == a[i]), None)) is not None:
+            out.change(i, j, ["+" + r for r in b[j:k]])
+            j = k
+        elif j < len(b) and (k := next((k for k in range(i, min(i + ahead, len(a))) if a[k] == b[j]), None)) is not None:
+            out.change(i, j, ["-" + r for r in a[i:k]])
+            i = k
+        else:
+            out.change(i, j, ["-" + a[i], *(["+" + b[j]] if j < len(b) else [])])
+            i, j = i + 1, min(j + 1, len(b))
+    out.close()
+    return "\n".join([f"--- a/{path}", f"+++ b/{path}", *out.done]) if out.done else ""

@@ -440,11 +440,11 @@ PART_SURPRISES_ALL = PART_SURPRISES.replace(RARE, WHOLE)
 
 def _texts(spark: SparkSession, d: str, flow: DataFrame) -> DataFrame:
     e = flow.select("src", "dst", F.col("n").alias("weight"))
-    n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
     parts = {"graphml": X.graphml(n, e), "mermaid": X.mermaid(n, e), "cypher": X.cypher(n, e, "Part", "NEXT")}
     out = None
     for name, df in parts.items():
-        df = df.where("part in (1, 2)").select(F.lit(name).alias("form"), "line")
+        df = df.select(F.lit(name).alias("form"), "part", "nth", "line")
         out = df if out is None else out.union(df)
     return out
 
@@ -458,13 +458,16 @@ def graph_texts_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 GRAPH_TEXTS = f"""
-WITH {RARE}
-SELECT 'graphml' AS form, '    <node id="' || p_partkey || '"><data key="label">' || replace(replace(replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</data></node>' AS line FROM part
-UNION ALL SELECT 'graphml', '    <edge source="' || src || '" target="' || dst || '"><data key="weight">' || n || '</data></edge>' FROM rare
-UNION ALL SELECT 'mermaid', '  ' || p_partkey || '["' || replace(p_name, '"', '''') || '"]' FROM part
-UNION ALL SELECT 'mermaid', '  ' || src || CASE WHEN n = 1 THEN ' --> ' ELSE ' -->|' || n || '| ' END || dst FROM rare
-UNION ALL SELECT 'cypher', 'MERGE (:Part {{id: ''' || p_partkey || ''', label: ''' || replace(replace(p_name, '\\', '\\\\'), '''', '\\''') || '''}});' FROM part
-UNION ALL SELECT 'cypher', 'MATCH (a:Part {{id: ''' || src || '''}}), (b:Part {{id: ''' || dst || '''}}) MERGE (a)-[:NEXT {{weight: ' || n || '}}]->(b);' FROM rare
+WITH {RARE}, n AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS nth, replace(replace(replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xname FROM part), e AS (SELECT *, row_number() OVER (ORDER BY src, dst) - 1 AS nth FROM rare)
+SELECT 'graphml' AS form, 0 AS part, CAST(nth AS BIGINT) AS nth, line FROM (SELECT unnest(range(0, 7)) AS nth, unnest(['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://graphml.graphdrawing.org/xmlns http://graphml.graphdrawing.org/xmlns/1.1/graphml.xsd">',
+ '  <key id="n_brand" for="node" attr.name="brand" attr.type="string" />', '  <key id="n_size" for="node" attr.name="size" attr.type="double" />', '  <key id="n_label" for="node" attr.name="label" attr.type="string" />', '  <key id="e_weight" for="edge" attr.name="weight" attr.type="double" />', '  <graph id="G" edgedefault="directed">']) AS line)
+UNION ALL SELECT 'graphml', 1, nth, '    <node id="' || p_partkey || '">' || chr(10) || '      <data key="n_label">' || xname || '</data>' || chr(10) || '      <data key="n_brand">' || p_brand || '</data>' || chr(10) || '      <data key="n_size">' || p_size || '</data>' || chr(10) || '    </node>' FROM n
+UNION ALL SELECT 'graphml', 2, nth, '    <edge id="e' || nth || '" source="' || src || '" target="' || dst || '">' || chr(10) || '      <data key="e_weight">' || n || '</data>' || chr(10) || '    </edge>' FROM e
+UNION ALL SELECT 'graphml', 3, 0, '  </graph>' UNION ALL SELECT 'graphml', 3, 1, '</graphml>' UNION ALL SELECT 'mermaid', 0, 0, 'flowchart LR'
+UNION ALL SELECT 'mermaid', 1, nth, '  n_' || p_partkey || '["' || replace(p_name, '"', '#quot;') || '"]' FROM n
+UNION ALL SELECT 'mermaid', 2, nth, '  n_' || src || CASE WHEN n = 1 THEN ' --> ' ELSE ' -->|' || n || '| ' END || 'n_' || dst FROM e
+UNION ALL SELECT 'cypher', 1, nth, 'MERGE (:Part {{ path: ''' || p_partkey || ''', label: ''' || replace(replace(p_name, '\\', '\\\\'), '''', '\\''') || ''', brand: ''' || p_brand || ''', size: ' || p_size || ' }});' FROM n
+UNION ALL SELECT 'cypher', 2, nth, 'MATCH (a:Part {{ path: ''' || src || ''' }}), (b:Part {{ path: ''' || dst || ''' }}) MERGE (a)-[:NEXT {{ weight: ' || n || ' }}]->(b);' FROM e
 """
 GRAPH_TEXTS_ALL = GRAPH_TEXTS.replace(RARE, WHOLE)
 

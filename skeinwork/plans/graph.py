@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators import graph_build as B
 from skeinwork.operators import graph_query as Q
+from skeinwork.operators.outline import outlines, references
 from skeinwork.operators.rank import pagerank
+from skeinwork.plans.index import TEXT_IMPORTS
 from skeinwork.operators.traverse import change_impact, circular, dependencies_of, entry_kind, execution_flows, reach, strong_components, traverse
 from skeinwork.functions.paths import is_test_like
 from skeinwork.sources.tables import table
@@ -211,7 +213,7 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 INDEX_STATS = f"""
 WITH {FLOW} SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM files)) AS files, (SELECT count(*) FROM (SELECT DISTINCT * FROM symbols)) AS symbols, (SELECT count(*) FROM flow) AS edges,
- (SELECT count(DISTINCT id) FROM chunks) AS calls, true AS healthy
+ (SELECT count(DISTINCT id) FROM chunks) AS calls, NOT ((SELECT count(DISTINCT id) FROM files) >= 50 AND (SELECT count(DISTINCT id) FROM symbols) >= 500 AND (SELECT count(*) FROM flow) = 0 AND (SELECT count(*) FROM chunks) = 0) AS healthy
 """
 
 
@@ -308,17 +310,15 @@ def import_names(spark: SparkSession, d: str) -> DataFrame:
     """Names that script texts import, with the file each import resolves to, if any."""
     refs = _refs(spark, d)
     files = table(spark, d, "files").select("id", "path").distinct()
-    return refs.join(B.resolve_imports(refs, files), ["file_id", "import_source"], "left").select("file_id", "name", "import_source", "target_file_id")
+    return refs.drop("source_file_id").join(B.resolve_imports(refs, files), ["file_id", "import_source"], "left").select("file_id", "name", "import_source", "target_file_id")
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "source_texts").select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r"import (\{ *\w+ *\} from '[^'\n]+')"), F.lit(1))).alias("m"))
-    return t.select("file_id", F.regexp_extract("m", r"\{ *(\w+)", 1).alias("name"), F.regexp_extract("m", r"'([^']+)'", 1).alias("import_source")).distinct()
+    return references(outlines(table(spark, d, "files"), table(spark, d, "source_texts")))
 
 
 IMPORT_NAMES = """
-WITH m AS (SELECT file_id, unnest(regexp_extract_all(content, 'import (\\{ *\\w+ *\\} from ''[^''\\n]+'')', 1)) AS m FROM source_texts),
-r AS (SELECT DISTINCT file_id, regexp_extract(m, '\\{ *(\\w+)', 1) AS name, regexp_extract(m, '''([^'']+)''', 1) AS import_source FROM m),
+WITH i AS (TEXT_IMPORTS), r AS (SELECT DISTINCT file_id, name, source AS import_source FROM i),
 f AS (SELECT DISTINCT id, path FROM files), b AS (SELECT r.*, regexp_replace(path, '[^/]*$', '') || substr(import_source, 3) AS base FROM r JOIN f ON f.id = file_id),
 e AS (SELECT *, unnest(['', '.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.py', '.go', '.rs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']) AS ending, generate_subscripts(['', '.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.py', '.go', '.rs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx'], 1) AS nth FROM b),
 h AS (SELECT file_id, import_source, arg_min(f.id, nth) AS target FROM e JOIN f ON f.path = base || ending GROUP BY 1, 2)
@@ -335,8 +335,7 @@ def import_use(spark: SparkSession, d: str) -> DataFrame:
 
 
 IMPORT_USE = """
-WITH m AS (SELECT file_id, unnest(regexp_extract_all(content, 'import (\\{ *\\w+ *\\} from ''[^''\\n]+'')', 1)) AS m FROM source_texts),
-r AS (SELECT DISTINCT file_id, regexp_extract(m, '\\{ *(\\w+)', 1) AS name FROM m),
+WITH i AS (TEXT_IMPORTS), r AS (SELECT DISTINCT file_id, name FROM i),
 l AS (SELECT file_id, unnest(regexp_split_to_array(content, '\\r?\\n')) AS text, generate_subscripts(regexp_split_to_array(content, '\\r?\\n'), 1) AS line FROM source_texts),
 s AS (SELECT DISTINCT id, file_id, name, line, end_line FROM symbols WHERE lower(kind) IN ('function', 'method'))
 SELECT s.id AS caller_symbol_id, r.name AS callee_name, min(l.line) AS line, 0.7 AS confidence, 'INFERRED' AS tier FROM s JOIN r ON r.file_id = s.file_id AND r.name <> s.name JOIN l ON l.file_id = s.file_id AND l.line BETWEEN s.line AND s.end_line
@@ -350,8 +349,7 @@ def unused_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 UNUSED_SYMBOLS = """
-WITH m AS (SELECT unnest(regexp_extract_all(content, 'import (\\{ *\\w+ *\\} from ''[^''\\n]+'')', 1)) AS m FROM source_texts)
-SELECT DISTINCT id FROM symbols WHERE is_exported AND name NOT IN (SELECT regexp_extract(m, '\\{ *(\\w+)', 1) FROM m)
+WITH i AS (TEXT_IMPORTS) SELECT DISTINCT id FROM symbols WHERE is_exported AND name NOT IN (SELECT name FROM i)
 """
 
 
@@ -361,8 +359,7 @@ def packages_used(spark: SparkSession, d: str) -> DataFrame:
 
 
 PACKAGES_USED = """
-WITH m AS (SELECT file_id, unnest(regexp_extract_all(content, 'import (\\{ *\\w+ *\\} from ''[^''\\n]+'')', 1)) AS m FROM source_texts),
-r AS (SELECT DISTINCT file_id, regexp_extract(m, '\\{ *(\\w+)', 1) AS name, regexp_extract(m, '''([^'']+)''', 1) AS p FROM m)
+WITH i AS (TEXT_IMPORTS), r AS (SELECT DISTINCT file_id, name, source AS p FROM i)
 SELECT p AS package, count(DISTINCT file_id) AS files, string_agg(DISTINCT name, ',' ORDER BY name) AS specifiers FROM r GROUP BY 1
 """
 
@@ -390,6 +387,7 @@ WITH RECURSIVE {FLOW}, w AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION
 SELECT node, min(depth) AS depth FROM w GROUP BY 1
 """
 
+IMPORT_NAMES, IMPORT_USE, UNUSED_SYMBOLS, PACKAGES_USED = (q.replace("TEXT_IMPORTS", TEXT_IMPORTS.strip()) for q in (IMPORT_NAMES, IMPORT_USE, UNUSED_SYMBOLS, PACKAGES_USED))
 QUERIES = {f.__name__: f for f in (edges_weighted, part_ranks, impact_of_parts, blast_radius, blast_radius_all, part_walk, flows_of_parts, flows_of_parts_all, part_cycles, part_cycles_all, circular_parts, circular_parts_all, index_stats, best_files, found_symbols, file_outlines, untested_hotspots, who_calls, lonely_files, import_names, import_use, unused_symbols, packages_used, entry_points, part_reach)}
 SQL = {
     "edges_weighted": EDGES_WEIGHTED, "part_ranks": _rank_sql(), "impact_of_parts": IMPACT_OF_PARTS, "blast_radius": BLAST_RADIUS, "part_walk": PART_WALK, "flows_of_parts": FLOWS_OF_PARTS, "part_cycles": PART_CYCLES,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skeinwork.operators.cooccurrence import cooccurring
 from skeinwork.operators.features import session_features
 from skeinwork.operators.logparse import parse_log
-from skeinwork.plans import data, graph, text
+from skeinwork.plans import data, graph, index, inputs, store, text
 from skeinwork.sources.tables import table
 
 
@@ -35,4 +35,4 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [cochange_parts, p3_features, p3_long, p6_found, p6_entries]
-    return {f.__name__: f for f in named} | text.QUERIES | graph.QUERIES | data.QUERIES
+    return {f.__name__: f for f in named} | text.QUERIES | graph.QUERIES | data.QUERIES | index.QUERIES | inputs.QUERIES | store.QUERIES

@@ -1,6 +1,6 @@
 """SQL over the same tables for the queries of the core."""
 
-from skeinwork.plans import data, graph, text
+from skeinwork.plans import data, graph, index, inputs, store, text
 
 COCHANGE_PARTS = """
 WITH s AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem),
@@ -96,4 +96,4 @@ P6_ENTRIES = f"{_P6} SELECT log_name, {_P6_COLUMNS}, string_agg(CASE WHEN ts_ms
 def oracle_sql() -> dict[str, str]:
     wide = p3_features(TYPES_FROM)
     own = {"cochange_parts": COCHANGE_PARTS, "p3_long": P3_LONG, "p6_found": P6_FOUND, "p6_entries": P6_ENTRIES} | ({"p3_features": wide} if wide else {})
-    return own | text.SQL | graph.SQL | data.SQL
+    return own | text.SQL | graph.SQL | data.SQL | index.SQL | inputs.SQL | store.SQL

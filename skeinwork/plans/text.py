@@ -20,7 +20,7 @@ def path_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_EXTS = "MAP {" + ", ".join(f"'{e}': '{lang}'" for lang, exts in P.LANGUAGE_EXTENSIONS.items() for e in exts.split()) + "}"
+_EXTS = "MAP {" + ", ".join(f"'{e}': '{lang}'" for lang, exts in P.LANGUAGE_EXTENSIONS.items() for e in exts) + "}"
 _LANG = f"CASE WHEN contains(path, '.') THEN coalesce({_EXTS}[lower(split_part(path, '.', -1))], 'unknown') WHEN fname = 'Dockerfile' OR fname LIKE 'Dockerfile.%' THEN 'dockerfile' ELSE 'unknown' END"
 PATH_FEATURES = f"""
 WITH f AS (SELECT DISTINCT id, path, split_part(path, '/', -1) AS fname, string_split(path, '/') AS parts FROM files)

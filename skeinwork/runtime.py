@@ -93,3 +93,17 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int = 256) -> D
     some = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.octet_length(F.col(f"`{c}`"))).alias(f"b{i}") for i, c in enumerate(wide))).first()
     size = some[0] * row_bytes + sum(b or 0 for b in some[1:])
     return df.hint("broadcast") if some[0] <= rows and size <= BROADCAST_BYTES else df
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with a column that numbers its rows from 0 by ``order``. Rows are dealt out by range and numbered within
+    their range from what lies before it, so that no task holds them all."""
+    from pyspark.sql import Window
+
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # a row per partition
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn(name, within).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions.paths import is_indexable
+from skeinwork.runtime import numbered, stored
 
 # Bytes of a file that is indexed, commits read, matches kept, characters of a match.
 MOST_BYTES, MOST_COMMITS, MOST_MATCHES, MATCH_CHARS = 500_000, 300, 100, 2000
+# Folders that a walk goes down, and files that a plain listing gives.
+DEEPEST, MOST_LISTED = 10, 5000
 
 
 def source_files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """``path, mtime_ms, size, content`` of the indexable files under a folder, hidden folders left out."""
+    """``path, mtime_ms, size, content`` of the indexable files under a folder. Only the contents of files that stay are read."""
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^\\Q" + base + "\\E/*", "")
     rows = rows.select(path.alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), "content")
-    return rows.where(is_indexable(F.col("path")) & (F.col("size") < most_bytes) & ~F.col("path").rlike(r"(^|/)\.")).withColumn("content", F.expr("make_valid_utf8(cast(content as string))"))
+    return walked(rows, most_bytes).withColumn("content", F.expr("make_valid_utf8(cast(content as string))"))
+
+
+def walked(listing: DataFrame, most_bytes: int = MOST_BYTES, deepest: int = DEEPEST, most: int | None = None) -> DataFrame:
+    """Rows of a listing (path, size, ...) that a walk keeps: indexable, smaller than ``most_bytes``, no part of the path hidden, at most
+    ``deepest`` folders deep; with ``most``, the first of these by path."""
+    deep = F.size(F.split("path", "/")) - 1 <= deepest
+    out = listing.where(is_indexable(F.col("path")) & (F.col("size") < most_bytes) & ~F.col("path").rlike(r"(^|/)\.") & deep)
+    return out.orderBy("path").limit(most) if most else out
+
+
+def listed(listing: DataFrame, endings: list[str], most: int = MOST_LISTED) -> DataFrame:
+    """The first ``most`` paths of a listing, by path, that end in one of the endings; packed scripts left out."""
+    fit = F.lit(False)
+    for e in endings:
+        fit = fit | F.col("path").endswith(e)
+    packed = F.col("path").endswith(".min.js") | F.col("path").endswith(".bundle.js")
+    return listing.where(fit & ~packed).orderBy("path").limit(most)
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
@@ -25,11 +47,20 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("files"), F.max("mtime_ms").alias("latest"))
 
 
-def commit_files(log: DataFrame, text: str = "value", mark: str = "---COMMIT---", most: int = MOST_COMMITS) -> DataFrame:
-    """``commit, path`` of a log text in which ``mark`` opens each commit and names follow, one a line; the first ``most`` commits."""
-    blocks = log.select(F.posexplode(F.split(text, "\\Q" + mark + "\\E")).alias("commit", "block")).where((F.col("commit") > 0) & (F.col("commit") <= most))
-    names = blocks.select("commit", F.explode(F.split("block", r"\r?\n")).alias("path")).select("commit", F.trim("path").alias("path"))
-    return names.where("path <> ''").distinct()
+def commit_log(spark: SparkSession, path: str, mark: str = "---COMMIT---") -> DataFrame:
+    """``commit, value``: the blocks of a log file, each opened by ``mark``, numbered from 1 in its order; read by blocks, not as one text."""
+    rows = spark.read.option("lineSep", mark).text(path).withColumn("_at", F.monotonically_increasing_id())
+    return numbered(rows.where(F.trim(F.regexp_replace("value", r"\s+", " ")) != ""), ["_at"], "commit").select((F.col("commit") + 1).alias("commit"), "value")
+
+
+def commit_files(blocks: DataFrame, text: str = "value", most: int | None = MOST_COMMITS) -> DataFrame:
+    """``commit, path`` of blocks (commit, and a text with a name a line), of the first ``most`` commits."""
+    rows = blocks.select("commit", F.explode(F.split(text, r"\r?\n")).alias("path")).select("commit", F.trim("path").alias("path"))
+    rows = rows.where("path <> ''").distinct()
+    if most is None:
+        return rows
+    first = blocks.select("commit").distinct().orderBy("commit").limit(most)
+    return rows.join(F.broadcast(first), "commit", "left_semi")
 
 
 def notebook_cells(notebooks: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
@@ -59,11 +90,11 @@ def script_blocks(pages: DataFrame, id: str = "id", text: str = "text") -> DataF
     return rows.select("id", "nth", (above + 2).alias("start_line"), F.when(ts, "ts").otherwise("js").alias("lang"), F.col("s.a").rlike(r"(?i)type\s*=\s*[\"']?module").alias("module"), F.col("s.c").alias("code"))
 
 
-def match_events(lines: DataFrame, text: str = "value", most: int = MOST_MATCHES) -> DataFrame:
-    """Matches of newline-delimited search events: path, line, text; other kinds of event and broken lines left out."""
+def match_events(lines: DataFrame, text: str = "value", order: str = "nth", most: int = MOST_MATCHES) -> DataFrame:
+    """The first ``most`` matches, by ``order``, of search events, one a row: path, line, text; other kinds of event and broken lines left out."""
     e = F.from_json(text, "type string, data struct<path:struct<text:string>, line_number:int, lines:struct<text:string>>")
-    rows = lines.select(e.alias("e")).where("e.type = 'match'")
-    return rows.select(F.col("e.data.path.text").alias("path"), F.col("e.data.line_number").alias("line"), F.rtrim("e.data.lines.text").alias("text")).limit(most)
+    rows = lines.select(e.alias("e"), F.col(order).alias("_at")).where("e.type = 'match'").orderBy("_at").limit(most)
+    return rows.select(F.col("e.data.path.text").alias("path"), F.col("e.data.line_number").alias("line"), F.rtrim("e.data.lines.text").alias("text"))
 
 
 def match_lines(text: Column) -> Column:
@@ -85,28 +116,70 @@ def extension_counts(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(ext.alias("extension")).groupBy("extension").agg(F.count(F.lit(1)).alias("files"))
 
 
-def save_snapshot(df: DataFrame, folder: str, label: str) -> str:
-    """Write a snapshot under a label (made of word characters, dots and dashes) and return its path."""
-    import re
+def _label(label: str) -> str:
+    plain = re.sub(r"[^a-zA-Z0-9._-]+", "-", label.strip()).strip("-")
+    if not plain:
+        raise ValueError("a label needs letters, digits, dots, dashes or underscores")
+    return plain
+
 
-    path = f"{folder.rstrip('/')}/{re.sub(r'[^A-Za-z0-9._-]', '_', label)}"
-    df.write.mode("overwrite").parquet(path)
+SNAPSHOT_VERSION = 1
+
+
+def save_snapshot(df: DataFrame, folder: str, label: str) -> str:
+    """Write a snapshot under a label, other signs in it as dashes, and return its path."""
+    path = f"{folder.rstrip('/')}/{_label(label)}"
+    df.withColumn("_version", F.lit(SNAPSHOT_VERSION)).write.mode("overwrite").parquet(path)
     return path
 
 
-def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_snapshot(spark: SparkSession, folder: str, label: str) -> DataFrame:
+    """A snapshot by its label; an error if it has another version."""
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{_label(label)}")
+    got = [r[0] for r in df.select("_version").distinct().limit(2).collect()] if "_version" in df.columns else [None]
+    if any(v != SNAPSHOT_VERSION for v in got):
+        raise ValueError(f"a snapshot of version {got[0]}, not {SNAPSHOT_VERSION}")
+    return df.drop("_version")
+
+
+def snapshot_labels(spark: SparkSession, folder: str) -> list[str]:
+    """The labels under a folder, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
+def code_stats_of(reports: DataFrame, text: str = "value") -> DataFrame:
+    """``language, files, code, comments, blanks`` of JSON reports: an object of languages with their reports of files and counts, or an
+    array of objects with Name, Count, Code, Comment and Blank. Broken texts give no row."""
+    by_name = F.from_json(text, "map<string, struct<code:long, comments:long, blanks:long, reports:array<struct<name:string>>>>")
+    one = reports.where(F.col(text).startswith("{")).select(F.explode(by_name).alias("language", "r")).where("language <> 'Total' and r is not null")
+    one = one.select("language", F.coalesce(F.size("r.reports"), F.lit(0)).cast("long").alias("files"), "r.code", "r.comments", "r.blanks")
+    listed_ = F.from_json(text, "array<struct<Name:string, Count:long, Code:long, Comment:long, Blank:long>>")
+    two = reports.where(F.col(text).startswith("[")).select(F.explode(listed_).alias("r")).where("r.Name is not null")
+    return code_stats(one.unionByName(two.select(F.col("r.Name").alias("language"), F.col("r.Count").alias("files"), F.col("r.Code").alias("code"), F.col("r.Comment").alias("comments"), F.col("r.Blank").alias("blanks"))))
 
 
 def repositories(registry: DataFrame, selectors: list[str]) -> DataFrame:
-    """Registered repositories (name, path, registered_at) that are selected by name or path, in order, each once; ``all`` selects all."""
-    if "all" in selectors:
-        return registry.orderBy("name")
+    """Registered repositories (name, path, registered_at) that are selected by name, else by path, in order, each once; ``all`` alone selects
+    all, by name. A selector that names none is an error."""
+    if selectors == ["all"]:
+        return registry.select("name", "path").orderBy("name")
     wanted = registry.sparkSession.createDataFrame([(s, k) for k, s in enumerate(dict.fromkeys(selectors))], "sel string, k int")
     hit = registry.join(F.broadcast(wanted), (F.col("name") == F.col("sel")) | (F.col("path") == F.col("sel")))
-    return hit.groupBy("name", "path").agg(F.min("k").alias("k")).orderBy("k").select("name", "path")
+    hit = stored(hit.select("sel", "k", "name", "path", (F.col("name") == F.col("sel")).alias("by_name")), "selected")
+    missed = wanted.join(hit.select("sel").distinct(), "sel", "left_anti").orderBy("k").first()
+    if missed is not None:
+        raise ValueError(f"no such repository: {missed.sel}")
+    best = hit.groupBy("sel", "k").agg(F.max_by(F.struct("name", "path"), "by_name").alias("r")).select("k", "r.*")
+    return best.groupBy("name", "path").agg(F.min("k").alias("k")).orderBy("k").select("name", "path")
 
 
 def stale_caches(folders: DataFrame, now_ms: int, days: int) -> DataFrame:
     """Cache folders (name of 16 hex digits, mtime_ms) older than a number of days."""
-    return folders.where(F.col("name").rlike("^[0-9a-f]{16}$") & (F.col("mtime_ms") < now_ms - days * 86_400_000))
+    return caches(folders).where(F.col("mtime_ms") < now_ms - days * 86_400_000)
+
+
+def caches(folders: DataFrame) -> DataFrame:
+    """Rows of a listing (name, ...) that are cache folders: 16 hex digits."""
+    return folders.where(F.col("name").rlike("^[0-9a-f]{16}$"))

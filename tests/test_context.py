@@ -55,12 +55,37 @@ def test_reads(spark):
 
 
 def test_small(spark):
-    assert C.rolling_hash("") == "0" and C.rolling_hash("abc") == "22ci" and C.rolling_hash("hello world, a longer text").lstrip("-").isalnum()
+    got = {r.t: r.h for r in spark.createDataFrame([("",), ("abc",), ("hello world, a longer text",), (None,), ("\U0001f600x",)], "t string").select("t", C.rolling_hash(F.col("t")).alias("h")).collect()}
+
+    def plain(t):
+        h = 0
+        for k in range(0, len(u := t.encode("utf-16-be")), 2):
+            h = (h * 31 + u[k] * 256 + u[k + 1]) & 0xFFFFFFFF
+        h -= (h & 0x80000000) << 1
+        n, s = abs(h), ""
+        while n:
+            n, d = divmod(n, 36)
+            s = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + s
+        return ("-" if h < 0 else "") + (s or "0")
+
+    assert got.pop(None) is None and all(plain(t) == h for t, h in got.items()) and got["abc"] == "22ci"
     df = spark.createDataFrame([("user", [("text", "hi"), ("tool", "ls"), ("reasoning", "x"), ("text", " ")])], "role string, parts array<struct<kind:string,text:string>>")
     assert df.select(C.message_text(F.col("role"), F.col("parts")).alias("t")).first().t == "user: hi\n[ls]"
-    kv = spark.createDataFrame([("loop:a", '{"name":"n","active":true,"iteration":2,"startedAt":"2026-01-01T00:00:00Z"}', 10), ("loop:b", "broken", 10), ("x", "{}", 10), ("loop:c", "{}", 1)], "key string, data string, expires_at long")
-    got = {r.key: (r.name, r.active, r.iteration) for r in C.live_loops_of(kv, 5).collect()}
-    assert got == {"loop:a": ("n", True, 2), "loop:b": (None, False, None)}
+    kv = spark.createDataFrame([("loop:a", '{"loopName":"n","sessionId":"s","active":true,"iteration":2,"startedAt":"2026-01-01T00:00:00Z"}', 10), ("loop:b", "broken", 10), ("x", "{}", 10), ("loop:c", '{"loopName":"m","sessionId":"s"}', 1), ("loop:d", '{"loopName":"o"}', 10)], "key string, data string, expires_at long")
+    got = {r.key: (r.name, r.active, r.iteration) for r in C.loop_states(kv, 5).collect()}
+    assert got == {"loop:a": ("n", True, 2)}
+    kv = spark.createDataFrame([("budget:a", '{"agent":"x","sessionId":"s","updatedAt":1000000,"state":{"turns":2,"tokensUsed":5}}', 2_000_000, "p"), ("budget:b", '{"agent":"x","sessionId":"s","updatedAt":1}', 2_000_000, "p"), ("budget:c", '{"agent":"x","updatedAt":1000000}', 2_000_000, "p")], "key string, data string, expires_at long, project_id string")
+    assert [(r.key, r.turns, r.tokens) for r in C.fresh_budgets(kv, 1_000_000, "p").collect()] == [("budget:a", 2, 5)] and C.fresh_budgets(kv, 1_000_000, "q").count() == 0 and C.fresh_budgets(kv, 1_000_000, "p", "t").count() == 0
+
+
+def test_symbol_docs_slop_and_names(spark):
+    t = spark.createDataFrame([(1, "// Reads the file at once.\nfunction f() {}\n// This function just returns the value\n// note that it is so\nlet x\n"), (2, None)], "file_id long, content string")
+    s = spark.createDataFrame([(1, 1, 2), (1, 1, 2), (2, 1, 5), (3, 1, 99), (4, 2, 1), (None, 1, 1)], "id long, file_id long, line int")
+    assert {r.id: r.doc for r in C.symbol_docs(s, t).collect()} == {1: "Reads the file at once.", 2: "This function just returns the value note that it is so", 3: None}
+    got = {(r.category, r.line, r.warned) for r in C.comment_slop(t, "file_id", "content").collect()}
+    assert got == {("narration", "// This function just returns the value", True), ("filler", "// note that it is so", True)} or {g[2] for g in got} == {True}
+    names = C.unique_names(spark.createDataFrame([("a",), ("b",), ("x" * 30,), (None,)], "base string"), spark.createDataFrame([("a",), ("a-1",), ("a-3",), ("b-1",), ("x" * 25,)], "name string"))
+    assert {r.base: r.name for r in names.collect()} == {"a": "a-2", "b": "b", "x" * 30: "x" * 25 + "-1"}
 
 
 def test_skills_of_many_globs(spark):

@@ -170,10 +170,16 @@ def test_reads(spark, repo):
     assert Q.symbol_references(refs, calls, symbols, files, "load").count() == 4
     assert Q.changed_with(spark.createDataFrame([(1, 2, 5), (3, 1, 7)], "file_id_a long, file_id_b long, count long"), files, 1).first().path == "src/a.test.ts"
     assert Q.file_symbols(symbols, 1).count() == 2
-    shapes = spark.createDataFrame([("h", 1, "a", 1), ("h", 2, "b", 2), ("g", 1, "c", 3)], "shape_hash string, file_id long, name string, line int")
-    assert [(r.shape_hash, r.copies) for r in Q.duplicate_shapes(shapes).collect()] == [("h", 2)]
-    q = spark.createDataFrame([("flow", 1, "t1", 0.9, "p"), ("flow", 2, "t1", 0.5, "p"), ("flow", 3, "t3", 1.0, "p"), ("gap", 1, "t4", 0.9, "o")], "kind string, nth int, text string, score double, path string")
-    assert [r.text for r in Q.suggested_questions(q).collect()] == ["t4", "t1"]
+    shapes = spark.createDataFrame([("h", 1, "a", 1, 9), ("h", 2, "b", 2, 9), ("g", 1, "c", 3, 7), (None, 1, "d", 4, 0)], "shape_hash string, file_id long, name string, line int, node_count int")
+    assert sorted((r.shape_hash, r.copies, r.file_id, r.node_count) for r in Q.duplicate_shapes(shapes).collect()) == [("h", 2, 1, 9), ("h", 2, 2, 9)]
+    q = spark.createDataFrame([("flow", 1, "t1", 0.9, "p"), ("flow", 2, "t1", 0.5, "p"), ("gap", 1, "t4", 0.9, "o")], "kind string, nth int, text string, score double, path string")
+    assert [(r.text, r.score) for r in Q.suggested_questions(q).collect()] == [("t4", 0.9), ("t1", 0.9)]
+    edge = lambda *r: spark.createDataFrame(list(r), "nth int, src string, dst string, weight double")
+    c = Q.question_candidates(edge((1, "x/a.ts", "y/b.ts", 0.0), (2, "c", "d", 1.0), (3, "e", "f", 1.0)), edge((1, "q\\z.ts", "w", 1.0)), spark.createDataFrame([(1, "load", "a/m.ts", 2.0)], "nth int, name string, path string, pagerank double"), spark.createDataFrame([(1, "main", "main", "m.ts", 0.5, 2, "x", "x.ts"), (2, "run", "main", "r.ts", 0.5, 3, "y", "y.ts")], "nth int, entry_name string, entry_kind string, entry_path string, weight double, steps int, last_name string, last_path string"))
+    got = {r.text: r.score for r in c.collect()}
+    assert got["Why does `a.ts` call `b.ts`? It looks like an out-of-module dependency."] == 1.0 and len(got) == 5
+    assert "`z.ts` is a bridge between modules — what blast radius would breaking it cause?" in got and got["`load` in `m.ts` is a high-PageRank symbol with no tests — should we add coverage?"] == 1.0
+    assert got["Walk me through the `run` main flow (ends in `y`)."] == 0.5
     assert not Q.health(spark.createDataFrame([(60, 600, 0, 0)], "files long, symbols long, edges long, calls long")).first().healthy
 
 
@@ -189,3 +195,49 @@ def test_cooccurrence(spark):
     rows = [(1, k) for k in range(25)] + [(2, 1), (2, 2), (2, 2), (3, 2), (3, 1), (4, 9), (None, 1), (5, None)]
     got = cooccurring(spark.createDataFrame(rows, "g long, i long"), "g", "i").collect()
     assert [tuple(r) for r in got] == [(1, 2, 2)]
+
+
+def test_call_cycles_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    for seed in range(3):
+        n = 14
+        pairs = {(r.randrange(n), r.randrange(n)) for _ in range(18)}
+        symbols = spark.createDataFrame([(k, k % 3, f"s{k}") for k in range(n)], "id long, file_id long, name string")
+        calls = spark.createDataFrame([(a, f"s{b}", b % 3) for a, b in pairs] + [(None, "s1", 1), (1, "s2", None), (2, "s4", 0)], "caller_symbol_id long, callee_name string, callee_file_id long")
+        got: dict = {}
+        for x in Q.call_cycles(calls, symbols, None).collect():
+            got.setdefault(x.cycle, []).append((x.nth, x.id, x.length))
+        near: dict = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+
+        def dist(a):
+            seen, front, d = {}, {a}, 0
+            while front:
+                d += 1
+                front = {y for x in front for y in near.get(x, ())} - set(seen)
+                seen |= {y: d for y in front}
+            return seen
+
+        far = {a: dist(a) for a in range(n)}
+        groups = {frozenset(b for b in range(n) if b == a or (b in far[a] and a in far[b])) for a in range(n)}
+        rings = {min(g): g for g in groups if len(g) > 1 or (min(g), min(g)) in pairs}
+        # of a group the least member; its shortest ring, or its call of itself
+        assert set(got) == set(rings)
+        for root, steps in got.items():
+            steps = [i for _, i, _ in sorted(steps)]
+            assert steps[0] == steps[-1] == root and len(steps) == far[root][root] + 1 if (root, root) not in pairs else True
+            assert all((a, b) in pairs for a, b in zip(steps, steps[1:]))
+    assert Q.call_cycles(calls.limit(0), symbols).count() == 0
+
+
+def test_symbol_search_and_radius(spark):
+    files = spark.createDataFrame([(1, "src/queue/a.ts"), (2, "lib/b.ts")], "id long, path string")
+    symbols = spark.createDataFrame([(1, 1, "loadUser", "function"), (2, 2, "load_user", "method"), (3, 2, "other", "function")], "id long, file_id long, name string, kind string")
+    ids = lambda q: {r.id for r in Q.search_symbols(symbols, files, q).collect()}
+    assert ids("load user") == {2} and ids("queue") == {1} and ids("load*") == {1, 2} and ids("function ts") == {1, 3} and ids('"load') == set() and ids(" *") == set()
+    calls = spark.createDataFrame([(2, "loadUser"), (3, "load_user"), (1, "other"), (3, "none")], "caller_symbol_id long, callee_name string")
+    assert {(r.id, r.depth) for r in Q.symbol_radius(calls, symbols, "loadUser").collect()} == {(2, 1), (3, 2)} and Q.symbol_radius(calls, symbols, "missing").count() == 0
+    assert {(r.id, r.depth) for r in Q.symbol_radius(calls, symbols, "loadUser", 1).collect()} == {(2, 1)}

@@ -68,13 +68,18 @@ def test_small_functions(spark):
     assert [one(spark, T.format_tokens(F.col("n")), n=n) for n in (999, 1000, 4350, 9250)] == ["999", "1.0k", "4.3k", "9.3k"]
     assert one(spark, T.format_duration(F.col("n")), n=61) == "1m 1s"
     assert one(spark, T.anchored_view(F.col("t")), t="a\nb\n").split("\n")[1].startswith("2#") and one(spark, T.anchored_view(F.col("t")), t="") == ""
-    assert T.comments_in("x // one\n/* two\n * three */\n# four") == ["one", "two", "three", "four"]
+    assert T.comments_in("x // none\n/* two\n * three */\n # four\n//five\n/** six */ y\n/*\nopen") == [("/* two", "two"), ("/* two", "/* two"), ("* three */", "three"), ("# four", "four"), ("//five", "five"), ("/** six */ y", "six */ y"), ("/** six */ y", "/** six"), ("/*", "/*"), ("open", "open")]
     assert one(spark, P.language_of_path(F.col("p")), p="a/Dockerfile") == "dockerfile" and one(spark, P.language_of_path(F.col("p")), p="a/b.TSX") == "typescript"
     assert one(spark, P.package_name(F.col("p")), p="@a/b/c") == "@a/b" and one(spark, P.package_name(F.col("p")), p="x/y") == "x"
     assert P.glob_pattern("src/**/*.ts") == r"^src/.*/[^/]*\.ts$"
     assert one(spark, P.tested_path(F.col("p")), p="a.test.b.test.ts") == "a.b.test.ts"
     assert one(spark, P.signature_of(F.array(F.lit("function f("), F.lit("  a,"), F.lit("): x {")), F.lit(1), F.lit("function")), z=1) == "function f( a, ): x"
-    assert one(spark, P.is_public(F.col("n"), F.lit("go"), F.lit(False)), n="Open")
+    public = lambda n, line, lang: one(spark, P.is_public(F.col("n"), F.lit(line), F.lit(lang)), n=n)
+    assert public("Open", "", "go") and not public("open", "", "go") and public("f", "  pub fn f", "rust") and not public("f", "fn f", "zig") and not public("_f", "def _f", "python")
+    assert not public("f", "private int f()", "java") and public("f", "protected int f()", "java") and not public("f", "protected function f", "php") and not public("f", "  defp f", "elixir") and public("f", "x", "typescript")
+    assert one(spark, T.front_list(F.col("t")), t="[a, \"b c\" ,]") == ["a", "b c"] and one(spark, T.front_list(F.col("t")), t="'x'") == ["x"] and one(spark, T.front_list(F.col("t")), t="") == []
+    assert one(spark, T.frontmatter(F.col("t")), t="no front") == {} and one(spark, T.front_body(F.col("t")), t="---\na: 1\na: 2\n---\nbody") == "body" and one(spark, T.frontmatter(F.col("t")), t="---\na: 1\n#b: 3\na: 2\n---\nx") == {"a": "2"}
+    assert [one(spark, T.number_text(F.col("n")), n=n) for n in (3.0, 0.5, -2.0)] == ["3", "0.5", "-2"]
 
 
 def test_kv(spark):
@@ -111,7 +116,10 @@ def test_quality_of_a_fresh_session(spark):
     z = F.lit(0)
     assert one(spark, S.quality(z, z, z, z, z, z, z, z, z, z), x=1) == {"score": 91, "grade": "S"}
     assert one(spark, S.quality(z, z, z, z, z, F.lit(3), z, z, z, F.lit(3)), x=1)["score"] < 91
-    assert S.nudges([(0, 50, False), (1000, 40, False), (400_000, 40, True), (800_000, 40, False)]) == [True, False, False, True]
+    c = spark.createDataFrame([("s", 0, 50, False), ("s", 1000, 40, False), ("s", 400_000, 40, True), ("s", 800_000, 40, False), ("t", 5, 90, False), ("t", 6, None, None)], "session_id string, at long, score int, compacted boolean")
+    assert {(r.session_id, r["at"]): r.nudge for r in S.nudges(c).collect()} == {("s", 0): True, ("s", 1000): False, ("s", 400_000): False, ("s", 800_000): True, ("t", 5): False, ("t", 6): False}
+    many = spark.createDataFrame([("s", k * 300_000, 1, False) for k in range(20)], "session_id string, at long, score int, compacted boolean")
+    assert S.nudges(many).where("nudge").count() == 10
 
 
 def test_sessions(spark):
@@ -138,7 +146,11 @@ def test_versions(spark):
     assert {r.path: r.change for r in d.collect()} == {"a": "changed", "b": "unchanged", "c": "removed", "d": "added"}
     s = H.skippable(spark.createDataFrame([("a/b/c",), ("d",)], "path string"), spark.createDataFrame([("a",)], "path string"))
     assert [r.path for r in s.collect()] == ["a/b/c"]
-    assert H.line_diff("a\nb\nc", "a\nx\nc") == " a\n-b\n+x\n c" and H.line_diff("a", "a") == ""
+    assert H.line_diff("a\nb\nc", "a\nx\nc", "p") == "--- a/p\n+++ b/p\n@@ -1,3 +1,3 @@\n a\n-b\n+x\n c" and H.line_diff("a", "a") == ""
+    old = [f"l{k}" for k in range(12)]
+    new = [*old[:1], "new", *old[1:5], *old[6:], "end"]
+    assert H.line_diff("\n".join(old), "\n".join(new), "f").split("\n")[2:] == ["@@ -1,4 +1,5 @@", " l0", "+new", " l1", " l2", " l3", "@@ -5,5 +6,4 @@", " l4", "-l5", " l6", " l7", " l8", "@@ -10,3 +10,4 @@", " l9", " l10", " l11", "+end"]
+    assert H.line_diff("a\nb", "a").endswith("\n a\n-b") and H.line_diff("a", "a\nb\nc").endswith("\n a\n+b\n+c")
 
 
 def test_clones(spark):
@@ -182,15 +194,42 @@ def test_retrieval(spark):
     assert sorted((r.file_id, r.start_line, r.end_line, r.symbol_name) for r in s.collect()) == [(1, 1, 2, None), (1, 3, 5, "a"), (1, 6, 7, None), (1, 8, 9, "b"), (1, 10, 12, None), (2, 1, 4, None)]
 
 
+def _text(df):
+    return "\n".join(r.line for r in df.orderBy("part", "nth").collect())
+
+
 def test_export(spark):
-    n = spark.createDataFrame([("a.b", 'x<"'), ("a-b", "y'")], "id string, label string")
-    e = spark.createDataFrame([("a.b", "a-b", 1), ("a-b", "a.b", 3)], "src string, dst string, weight int")
-    text = lambda df: "\n".join(r.line for r in df.orderBy("part", "key").collect())
-    g = text(X.graphml(n, e))
-    assert "x&lt;&quot;" in g and g.startswith("<?xml") and g.endswith("</graphml>")
-    m = text(X.mermaid(n, e))
-    assert 'a_b["y\'"]' in m and 'a_b_2["x<\'"]' in m and "a_b_2 --> a_b" in m and "a_b -->|3| a_b_2" in m
-    assert "label: 'y\\''" in text(X.cypher(n, e))
+    n = spark.createDataFrame([("src/a.ts", "A", "ts", 120, True), ("src/b.ts", None, "ts", None, None), ("src/weird name.ts", "Weird & Co", None, 7, False)], "id string, label string, lang string, size int, hot boolean")
+    e = spark.createDataFrame([("src/a.ts", "src/b.ts", 3.0, "x'"), ("src/a.ts", "src/weird name.ts", 1.0, None)], "src string, dst string, weight double, kind string")
+    g = _text(X.graphml(n, e))
+    assert g.startswith('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns=') and g.endswith("  </graph>\n</graphml>") and 'edgedefault="directed"' in g
+    assert '  <key id="n_lang" for="node" attr.name="lang" attr.type="string" />\n  <key id="n_size" for="node" attr.name="size" attr.type="double" />\n  <key id="n_hot" for="node" attr.name="hot" attr.type="boolean" />\n  <key id="n_label" for="node" attr.name="label" attr.type="string" />' in g
+    assert '    <node id="src/a.ts">\n      <data key="n_label">A</data>\n      <data key="n_lang">ts</data>\n      <data key="n_size">120</data>\n      <data key="n_hot">true</data>\n    </node>' in g and "Weird &amp; Co" in g and "Weird & Co" not in g
+    assert '    <edge id="e0" source="src/a.ts" target="src/b.ts">\n      <data key="e_weight">3</data>\n      <data key="e_kind">x&apos;</data>\n    </edge>' in g and '    <node id="src/b.ts">\n      <data key="n_label">src/b.ts</data>\n      <data key="n_lang">ts</data>\n    </node>' in g
+    m = _text(X.mermaid(n, e))
+    assert m == 'flowchart LR\n  src_a_ts["A"]\n  src_b_ts["src/b.ts"]\n  src_weird_name_ts["Weird & Co"]\n  src_a_ts -->|3| src_b_ts\n  src_a_ts --> src_weird_name_ts'
+    assert _text(X.mermaid(n, e, "TD")).startswith("flowchart TD\n")
+    c = _text(X.cypher(n, e)).split("\n")
+    assert c[0] == "MERGE (:File { path: 'src/a.ts', label: 'A', lang: 'ts', size: 120, hot: true });" and c[1] == "MERGE (:File { path: 'src/b.ts', lang: 'ts' });"
+    assert c[3] == "MATCH (a:File { path: 'src/a.ts' }), (b:File { path: 'src/b.ts' }) MERGE (a)-[:IMPORTS { weight: 3, kind: 'x\\'' }]->(b);"
+    assert "MERGE (:Module {" in _text(X.cypher(n, e, "Module", "CALLS")) and "-[:CALLS {" in _text(X.cypher(n, e, "Module", "CALLS"))
+    none = (n.limit(0), e.limit(0))
+    assert "<graph " in _text(X.graphml(*none)) and _text(X.mermaid(*none)) == "flowchart LR" and _text(X.cypher(*none)) == ""
+
+
+def test_names_in_charts(spark):
+    ids = ["a.b", "a/b", "a_b_1", "a-b", "a b", "1x", "n_1x", "", "a_b_1_1", "z", "a_b_2", "a~b"]
+    used, want = set(), {}
+    for i in ids:  # one by one
+        base = "".join(c if c.isalnum() or c == "_" else "_" for c in i)
+        base = f"n_{base}" if not base or base[0].isdigit() else base
+        name, k = base, 1
+        while name in used:
+            name, k = f"{base}_{k}", k + 1
+        used.add(name)
+        want[i] = name
+    got = X.chart_ids(spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id string, _nth long"))
+    assert {r.id: r.cid for r in got.collect()} == want
 
 
 def test_json_edge():
