@@ -7,15 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.runtime import hinted
+from skeinwork.runtime import stored
 
 # Lines of a chunk and of its overlap, sizes of the roll-up, and numbers of the ranking.
 LINES, OVERLAP, CHARS = 50, 10, 2000
 SMALL, LARGE = 50, 400
 FUSION, K1, B, OVERFETCH = 60, 1.2, 0.75, 3
+#: Query vectors that go to every task at a time.
+QUERIES_AT_ONCE = 10_000
 
 
 def line_chunks(texts: DataFrame, id: str, text: str, lines: int = LINES, overlap: int = OVERLAP) -> DataFrame:
@@ -106,15 +109,51 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """The k vectors (id, vec) of highest cosine for each query (query, qvec): query, id, score, rank. A stated set of
-    queries against all vectors; only the queries are broadcast, within a checked bound, and a top k is kept
-    per partition before anything is shuffled."""
+    """The k vectors (id, vec) of highest cosine for each query (query, qvec): query, id, score, rank; ties go to the lesser id. A
+    cosine is 0 where lengths differ or one vector is all zero, or null. A stated set of queries against all vectors: these are read
+    once, in blocks that meet the queries as a matrix, and each block keeps its k best, so only those are shuffled. The
+    queries, at most 10,000 at a time, go to every task; more are taken in as many passes as they need."""
     from pyspark.sql import Window
 
-    both = vectors.select("id", "vec").crossJoin(hinted(queries.select("query", "qvec"), 10_000))
-    scored = both.select("query", "id", cosine(F.col("qvec"), F.col("vec")).alias("score"))
+    spark = vectors.sparkSession
+    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["id"]
+    out_schema = f"query {kinds[0]}, id {kinds[1]}, score double"
+    asked = stored(queries.select("query", F.col("qvec").cast("array<double>").alias("qvec")), "queries")
+    total, found = asked.count(), None
+    passes = max(1, -(-total // QUERIES_AT_ONCE))
+    for n in range(passes):
+        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == n)
+        some = part.toArrow()
+        shared = spark.sparkContext.broadcast((some.column("query").combine_chunks(), some.column("qvec").to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, vecs = shared.value
+            by_size: dict[int, list[int]] = {}
+            for i, v in enumerate(vecs):
+                by_size.setdefault(len(v) if v is not None else 0, []).append(i)
+            for batch in batches:
+                ids, column = batch.column("id"), batch.column("vec")
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                for size, rows in by_size.items():
+                    score = np.zeros((len(rows), batch.num_rows))
+                    fit = np.flatnonzero(sizes == size) if size else np.empty(0, int)
+                    if len(fit):
+                        x = column.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(fit), size)
+                        q = np.array([vecs[i] for i in rows], float)
+                        norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+                        score[:, fit] = np.divide(q @ x.T, norms, out=np.zeros_like(norms), where=norms > 0)
+                    if batch.num_rows > k:
+                        # all that tie with the k-th stay, as the lesser id decides
+                        least = np.partition(score, batch.num_rows - k, axis=1)[:, batch.num_rows - k, None]
+                        a, b = np.nonzero(score >= least - 1e-12)
+                    else:
+                        a, b = np.divmod(np.arange(score.size), max(1, batch.num_rows))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.array(rows, int)[a])), ids.take(pa.array(b)), pa.array(score[a, b])], names=["query", "id", "score"])
+
+        one = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, out_schema)
+        found = one if found is None else found.union(one)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def words_of(text: Column) -> Column:
@@ -135,7 +174,8 @@ def bm25(texts: DataFrame, query: str, id: str = "id", text: str = "text", k1: f
     base = texts.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), words_of(F.col(text)).alias("w"))
     count = lambda q: F.size(F.filter("w", lambda x: x == F.lit(q)))
     tf = [count(q).alias(f"t{i}") for i, q in enumerate(words)]
-    counted = base.select("id", F.size("w").alias("n"), *tf)
+    # stored, as the counts serve the statistics and the scores
+    counted = stored(base.select("id", F.size("w").alias("n"), *tf), "counted")
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.sum((F.col(f"t{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(words))))
     both = counted.where(" or ".join(f"t{i} > 0" for i in range(len(words))) or "false").crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
@@ -199,7 +239,7 @@ def pseudo_vectors(texts: DataFrame, id: str = "id", text: str = "text", dims: i
             h = (h * 31 + i) & 0xFFFFFFFF
             out[i] = (h & 0xFFFF) / 65536 - 0.5
         norm = float(np.sqrt((out.astype(float) ** 2).sum()))
-        return (out / norm if norm > 0 else out).tolist()
+        return (out.astype(float) / norm).astype(np.float32).tolist() if norm > 0 else out.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -173,7 +173,7 @@ VECTORS_MADE = """
 WITH RECURSIVE h AS (SELECT DISTINCT id, list_reduce([0] || list_transform(string_split(path, ''), lambda c: unicode(c)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM files),
 w AS (SELECT id, CAST(h AS BIGINT) AS h, 0 AS i, [CAST(0 AS DOUBLE)] AS v FROM h UNION ALL SELECT id, (h * 31 + i) % 4294967296, i + 1, v || [((h * 31 + i) % 4294967296 & 65535) / 65536 - 0.5] FROM w WHERE i < 8),
 n AS (SELECT id, v[2:] AS v, sqrt(list_sum(list_transform(v[2:], lambda x: x * x))) AS n FROM w WHERE i = 8)
-SELECT id, list_transform(v, lambda x: round(x / n, 5)) AS vec FROM n
+SELECT id, list_transform(v, lambda x: round(CAST(CAST(x / n AS FLOAT) AS DOUBLE), 5)) AS vec FROM n
 """
 
 
@@ -330,7 +330,7 @@ WITH RECURSIVE t AS (SELECT file_id AS id, list_transform(string_split(content,
 r AS (SELECT id, generate_subscripts(l, 1) AS k, unnest(l) AS s FROM t),
 w AS (SELECT id, CAST(0 AS BIGINT) AS k, '' AS s, false AS opened, false AS before, false AS inside FROM t
  UNION ALL SELECT r.id, r.k, r.s, NOT w.inside AND contains(r.s, '/*'), w.inside, (w.inside OR contains(r.s, '/*')) AND NOT contains(r.s, '*/') FROM w JOIN r ON r.id = w.id AND r.k = w.k + 1),
-c AS (SELECT id, s, regexp_replace(regexp_replace(s, '^.*?/\*+\s*', ''), '\*/\s*$', '') AS c FROM w WHERE opened AND regexp_replace(s, '^.*?/\*+\s*', '') <> '' AND NOT starts_with(regexp_replace(s, '^.*?/\*+\s*', ''), '*')
+c AS (SELECT id, s, trim(regexp_replace(regexp_replace(s, '^.*?/\*+\s*', ''), '\*/\s*$', ''), ' ' || chr(9)) AS c FROM w WHERE opened AND regexp_replace(s, '^.*?/\*+\s*', '') <> '' AND NOT starts_with(regexp_replace(s, '^.*?/\*+\s*', ''), '*')
  UNION ALL SELECT id, s, trim(regexp_replace(regexp_replace(s, '\*/.*$', ''), '^\s*\*?\s*', ''), ' ' || chr(9)) FROM w WHERE (opened OR before) AND k > 0 UNION ALL SELECT id, s, regexp_extract(s, '^(?://|#)\s*(.+)', 1) FROM w WHERE NOT opened AND NOT before AND regexp_matches(s, '^(//|#)\s*.')),
 f AS (SELECT DISTINCT id, s, CASE {rules} END AS category FROM c WHERE length(c) >= 5), g AS (SELECT * FROM f WHERE category IS NOT NULL), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1)
 SELECT g.id, category, count(*) AS comments, max(n >= 2) AS warned FROM g JOIN n ON n.id = g.id GROUP BY 1, 2
