@@ -36,6 +36,7 @@ INTENTS = [
     ("quick-fix", "builder", 1.3, [r"\btypo\b", r"\brename\b", r"\bdelete\s+(this|that|the)\s+(line|import|variable|function)\b", r"\bremove\s+(unused|dead)\b", r"\bformat(ting)?\b", r"\blint\s*fix\b", r"\bquick\s*fix\b"]),
     ("implement", "builder", 1.0, [r"\bimplement\b", r"\bcreate\b", r"\bbuild\b", r"\badd\b", r"\bwrite\b", r"\brefactor\b", r"\bmodify\b", r"\bupdate\b", r"\bchange\b", r"\bmigrat(e|ion)\b", r"\bsetup\b", r"\bconfigure\b", r"\binstall\b"]),
 ]
+# Patterns of references to files, of questions, commands, many files and architecture.
 FILE_REFERENCE = r"(?:@\[.+?\]|[a-zA-Z0-9_/.-]+\.[a-zA-Z]{1,6})"
 QUESTION = r"(?m)[?？]|^(?:what|how|why|where|when|which|who|can|could|would|should|is|are|do|does)\b"
 COMMAND = r"(?m)^(?:add|create|build|write|implement|fix|refactor|remove|delete|rename|update|change|move|install|configure|setup|migrate|deploy)\b"
@@ -176,47 +177,47 @@ def slop_category(comment: Column) -> Column:
     return F.when(F.length(comment) >= 5, out)
 
 
-def _words(text: Column) -> Column:
-    return F.size(F.split(text, r"\s+"))
+def traits(text: Column) -> Column:
+    """Struct of what the rules below ask of a text, each found once: hits of every intent's patterns by weight, references to files,
+    words, and whether it asks, tells, speaks of architecture or of many files. Select it first, then what is told by it."""
+    # bound once each, as an array of one, so that nothing is worked out again where it is used again
+    def found(t: Column) -> Column:
+        hits = lambda patterns: sum((matches(t["text"], p, low=t["low"]).cast("int") for p in patterns), F.lit(0))
+        return F.struct(
+            *((hits(patterns) * weight).alias(tag) for tag, _, weight, patterns in INTENTS), F.regexp_count(t["text"], F.lit(FILE_REFERENCE)).alias("refs"), F.size(F.split(t["text"], r"\s+")).alias("words"),
+            matches(t["text"], QUESTION).alias("asks"), matches(t["text"], COMMAND).alias("tells"), matches(t["text"], ARCHITECTURE).alias("design"), matches(t["text"], MANY_FILES).alias("many"),
+        )
+
+    both = F.array(F.struct(text.alias("text"), F.lower(text).alias("low")))
+    return F.when(text.isNotNull(), F.transform(both, found)[0])
 
 
-def complexity(text: Column) -> Column:
-    refs, words = F.regexp_count(text, F.lit(FILE_REFERENCE)), _words(text)
+def complexity(s: Column) -> Column:
+    """Of a text's traits: trivial, simple, moderate, complex or architectural."""
     return (
-        F.when(matches(text, ARCHITECTURE) | (words > 150), "architectural").when(matches(text, MANY_FILES) | (refs > 3) | (words > 80), "complex")
-        .when((refs > 1) | (words > 30), "moderate").when(words > 10, "simple").otherwise("trivial")
+        F.when(s["design"] | (s["words"] > 150), "architectural").when(s["many"] | (s["refs"] > 3) | (s["words"] > 80), "complex")
+        .when((s["refs"] > 1) | (s["words"] > 30), "moderate").when(s["words"] > 10, "simple").otherwise("trivial")
     )
 
 
-def conversation_type(text: Column) -> Column:
-    asks, tells = matches(text, QUESTION), matches(text, COMMAND)
-    return F.when(asks & tells, "mixed").when(asks, "question").otherwise("command")
-
+def conversation_type(s: Column) -> Column:
+    return F.when(s["asks"] & s["tells"], "mixed").when(s["asks"], "question").otherwise("command")
 
-def scope_of(text: Column) -> Column:
-    refs = F.regexp_count(text, F.lit(FILE_REFERENCE))
-    return F.when(matches(text, ARCHITECTURE), "architectural").when(matches(text, MANY_FILES) | (refs > 2), "multi-file").otherwise("single-file")
 
-
-def intent(text: Column) -> Column:
-    """Struct of tag, role and confidence (the share of the best score in all); the first of equals wins."""
-    # bound once each, as an array of one, so that nothing is worked out again where it is used again
-    def found(t: Column) -> Column:
-        hits = lambda patterns: sum((matches(t["text"], p, low=t["low"]).cast("int") for p in patterns), F.lit(0))
-        return F.struct(*((hits(patterns) * weight).alias(tag) for tag, _, weight, patterns in INTENTS), conversation_type(t["text"]).alias("kind"), scope_of(t["text"]).alias("scope"))
-
-    both = F.array(F.struct(text.alias("text"), F.lower(text).alias("low")))
-    return F.transform(F.transform(both, found), _judged)[0]
+def scope_of(s: Column) -> Column:
+    return F.when(s["design"], "architectural").when(s["many"] | (s["refs"] > 2), "multi-file").otherwise("single-file")
 
 
-def _judged(s: Column) -> Column:
+def intent(s: Column) -> Column:
+    """Of a text's traits: struct of tag, role and confidence (the share of the best score in all); the first of equals wins."""
     scores = [s[tag] for tag, *_ in INTENTS]
     total, best = sum(scores, F.lit(0.0)), F.greatest(*scores)
     tag, role = F.lit("unknown"), F.lit("builder")
     for t, r, _, _ in reversed(INTENTS):
         tag, role = F.when((s[t] == best) & (best > 0), t).otherwise(tag), F.when((s[t] == best) & (best > 0), r).otherwise(role)
-    research = (s["kind"] == "question") & (s["scope"] == "architectural") & (role != "reviewer") & (s["research"] > 0) & (s["research"] >= best * 0.6)
-    plan = (s["kind"] == "command") & (s["scope"] == "architectural") & (tag == "implement")
+    kind, scope = conversation_type(s), scope_of(s)
+    research = (kind == "question") & (scope == "architectural") & (role != "reviewer") & (s["research"] > 0) & (s["research"] >= best * 0.6)
+    plan = (kind == "command") & (scope == "architectural") & (tag == "implement")
     return F.struct(
         F.when(research, "research").when(plan, "plan").otherwise(tag).alias("tag"),
         F.when(research, "reviewer").when(plan, "planner").otherwise(role).alias("role"),

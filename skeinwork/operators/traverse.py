@@ -16,17 +16,18 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, keys
     """
     keys = keys or []
     e = stored(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct(), "steps")
-    front = stored(seeds.select(*keys, "node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "front")
-    done, depth = front, 0
+    done = seeds.select(*keys, "node").where("node is not null").distinct().withColumn("depth", F.lit(0))
+    front, depth = done, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         if depth > max_rounds:
             raise RuntimeError("too many rounds")
-        step = front.join(e, front.node == e.src).select(*keys, F.col("dst").alias("node")).distinct()
-        front = stored(step.join(done.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if front.limit(1).count() == 0:
+        step = front.join(e, front.node == e.src).select(*keys, F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
+        # one grouping tells what is new: it has no lesser depth
+        done = stored(done.unionByName(step).groupBy(*keys, "node").agg(F.min("depth").alias("depth")), "met")
+        front = done.where(F.col("depth") == depth)
+        if depth != max_depth and front.limit(1).count() == 0:
             break
-        done = done.unionByName(front)
     return done
 
 

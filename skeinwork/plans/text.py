@@ -116,8 +116,9 @@ SELECT doc_id, category, count(*) AS lines FROM c WHERE category IS NOT NULL GRO
 
 
 def intents(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    i = table(spark, d, "documents").where("text is not null").select("doc_id", T.intent(t).alias("i"), T.complexity(t).alias("complexity"), T.conversation_type(t).alias("kind"), T.scope_of(t).alias("scope"))
+    s = F.col("s")
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", T.traits(F.col("text")).alias("s"))
+    i = rows.select("doc_id", T.intent(s).alias("i"), T.complexity(s).alias("complexity"), T.conversation_type(s).alias("kind"), T.scope_of(s).alias("scope"))
     return i.select("doc_id", "i.tag", "i.role", F.round("i.confidence", 9).alias("confidence"), "complexity", "kind", "scope", T.gate_passes(F.col("i"), F.col("complexity"), F.lit("reviewer")).alias("passes"))
 
 

@@ -42,7 +42,7 @@ def test_error_kinds(spark, message, kind):
     "text,tag,role", [("please review my changes", "review", "reviewer"), ("fix the crash, there is a bug", "debug", "builder"), ("fix typo in readme", "quick-fix", "builder"), ("what is a monad", "research", "reviewer"), ("hello", "unknown", "builder"), ("implement a microservice", "plan", "planner")]
 )
 def test_intents(spark, text, tag, role):
-    i = one(spark, T.intent(F.col("t")), t=text)
+    i = one(spark, T.intent(T.traits(F.col("t"))), t=text)
     assert (i["tag"], i["role"]) == (tag, role)
 
 
