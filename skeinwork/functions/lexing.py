@@ -16,7 +16,7 @@ _LINE = r"(?P<line>//[^\r\n]*)"
 _BLOCK = r"(?P<block>/\*[\s\S]*?(?:\*/|\Z))"
 _DQ = r'"(?:\\[\s\S]|[^"\\\r\n])*"?'
 _SQ = r"'(?:\\[\s\S]|[^'\\\r\n])*'?"
-_LEXERS = {
+LEXERS = {
     "python": re.compile(r"(?P<line>#[^\r\n]*)|(?P<text>[rRbBuUfF]{0,2}(?:\"\"\"(?:\\[\s\S]|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\[\s\S]|[^\\])*?(?:'''|\Z)|" + _DQ + "|" + _SQ + "))"),
     "javascript": re.compile(_LINE + "|" + _BLOCK + "|(?P<text>" + _DQ + "|" + _SQ + r")|(?P<tick>`)|(?P<regex>(?<=[=(,:\[!&|?{};+\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\r\n])*\]|[^/\\\[\r\n])+/[a-z]*)"),
     "go": re.compile(_LINE + "|" + _BLOCK + "|(?P<text>" + _DQ + r"|`[^`]*`?|'(?:\\.|[^'\\\r\n])+')"),
@@ -67,7 +67,7 @@ def language_of(language: str | None, path: str | None) -> str | None:
     suffix = path.rsplit(".", 1)[-1].lower() if path and "." in path else ""
     known = (language or "").strip().lower()
     known = _ALIASES.get(known, known)
-    return _BY_SUFFIX.get(suffix) or (known if known in _LEXERS else None)
+    return _BY_SUFFIX.get(suffix) or (known if known in LEXERS else None)
 
 
 _QUASI, _DEPTH = re.compile(r"\\[\s\S]|`|\$\{"), re.compile(r"/\*|\*/")
@@ -100,12 +100,12 @@ def _template_end(text: str, at: int) -> int:
     return at
 
 
-_CODE_IN_TEMPLATE = re.compile(_LEXERS["javascript"].pattern + r"|[{}]")
+_CODE_IN_TEMPLATE = re.compile(LEXERS["javascript"].pattern + r"|[{}]")
 
 
 def lex(text: str, language: str) -> Iterator[tuple[str, int, int]]:
     """The comments, strings and patterns of a text in order: kind (comment, text or regex), start, end."""
-    at, find = 0, _LEXERS[language].search
+    at, find = 0, LEXERS[language].search
     while m := find(text, at):
         a, b = m.span()
         kind = m.lastgroup
