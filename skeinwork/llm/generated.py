@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.funcdoc import _LEXERS, language_of, lex
+from skeinwork.functions.lexing import LEXERS, language_of, lex
 from skeinwork.llm.neardup import plain_path
 from skeinwork.runtime import hinted, stored
 
@@ -50,7 +50,7 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 def fingerprints(text: str, language: str | None, gram: int = 20, window: int = 12, least: int = 12) -> np.ndarray:
     """Winnowed hashes of runs of ``gram`` tokens: case kept, comments left out, numbers and strings alike. A text that
     has fewer than ``least`` of them has one, of all its tokens, and so recurs as a whole only; none without tokens."""
-    if language in _LEXERS:
+    if language in LEXERS:
         parts, at = [], 0
         for kind, a, b in lex(text, language):
             parts += [text[at:a], '""' if kind == "text" else " "]

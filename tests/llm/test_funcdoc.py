@@ -1,6 +1,7 @@
 import pytest
 
-from skeinwork.llm.funcdoc import code_description_pairs, described, functions_in, language_of, words_in
+from skeinwork.functions.lexing import language_of
+from skeinwork.llm.funcdoc import code_description_pairs, described, functions_in, words_in
 
 
 def one(text, language, name):
