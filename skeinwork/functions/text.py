@@ -208,8 +208,10 @@ def scope_of(s: Column) -> Column:
     return F.when(s["design"], "architectural").when(s["many"] | (s["refs"] > 2), "multi-file").otherwise("single-file")
 
 
-def intent(s: Column) -> Column:
-    """Of a text's traits: struct of tag, role and confidence (the share of the best score in all); the first of equals wins."""
+def intent(s: Column, roles: dict[str, str] | None = None) -> Column:
+    """Of a text's traits: struct of tag, role and confidence (the share of the best score in all); the first of equals wins.
+    ``roles`` gives own names to builder, planner and reviewer."""
+    names = {"builder": "builder", "planner": "planner", "reviewer": "reviewer"} | (roles or {})
     scores = [s[tag] for tag, *_ in INTENTS]
     total, best = sum(scores, F.lit(0.0)), F.greatest(*scores)
     tag, role = F.lit("unknown"), F.lit("builder")
@@ -220,11 +222,19 @@ def intent(s: Column) -> Column:
     plan = (kind == "command") & (scope == "architectural") & (tag == "implement")
     return F.struct(
         F.when(research, "research").when(plan, "plan").otherwise(tag).alias("tag"),
-        F.when(research, "reviewer").when(plan, "planner").otherwise(role).alias("role"),
+        _renamed(F.when(research, "reviewer").when(plan, "planner").otherwise(role), names).alias("role"),
         F.when(total > 0, F.when(research, s["research"]).otherwise(best) / total).otherwise(F.lit(0.0)).alias("confidence"),
     )
 
 
+def _renamed(value: Column, names: dict[str, str]) -> Column:
+    out = value
+    for old, new in names.items():
+        if old != new:
+            out = F.when(value == old, new).otherwise(out)
+    return out
+
+
 def gate_passes(judged: Column, complexity_: Column, role: Column) -> Column:
     """Whether a message of an intent and a complexity may stay with ``role``: unsure, its own, or a trivial quick fix."""
     return (judged["confidence"] < 0.5) | (judged["role"] == role) | ((complexity_ == "trivial") & judged["tag"].isin("quick-fix", "unknown"))

@@ -1,7 +1,8 @@
 """Per-session logic in batch form: repetition, budgets, quality, checkpoints, summaries, debouncing.
 
-Where a rule is a running sum or a comparison with the row before, it is a window; where it is a fold over
-a bounded ring, only the ring is gathered.
+Where a rule is a running sum or a comparison with the row beside, it is worked out in ranges of rows that hand over
+at their ends, as one session may hold a large share of all rows; where it is a fold over a bounded ring, only the
+ring is gathered.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.runtime import beside, running_sums
+
 # Ring and repetitions of the loop rule, warning share of budgets, sizes and marks of quality and checkpoints.
 RING, REPEATS, WARN_AT = 64, 3, 0.8
 QUALITY_TOKENS, CHECKPOINT_TOKENS = 500_000, 200_000
@@ -58,13 +61,16 @@ def budgets(events: DataFrame, key: str, order: list[str], turn: str, limits: di
     """``events`` with the running value of each counter and its state: ok, warn (from four fifths of its limit) or
     over. A counter is (amount per event, whether it starts anew with each ``turn``); a missing or zero limit is none."""
     out = events
-    for name, (amount, each_turn) in counters.items():
-        w = Window.partitionBy(key, *([turn] if each_turn else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        limit = limits.get(name) or 0
-        used = F.sum(amount).over(w)
+    for each in (False, True):
+        some = {n: a for n, (a, e) in counters.items() if e == each}
+        if some:
+            out = running_sums(out, [key, turn] if each else [key], order, some)
+    states = []
+    for name in counters:
+        limit, used = limits.get(name) or 0, F.col(name)
         state = F.lit("ok") if limit <= 0 else F.when(used >= limit, "over").when(used >= limit * WARN_AT, "warn").otherwise("ok")
-        out = out.withColumn(name, used).withColumn(f"{name}_state", state)
-    return out
+        states += [used, state.alias(f"{name}_state")]
+    return out.select(*events.columns, *states)
 
 
 def quality(chars: Column, reads: Column, stale: Column, large: Column, referenced: Column, compactions: Column, duplicates: Column, messages: Column, decisions: Column, loops_: Column) -> Column:
@@ -142,9 +148,8 @@ def recovery_log(errors: DataFrame, context: int = CONTEXT_RETRIES, timeout: int
 
 def fill_checkpoints(messages: DataFrame, key: str, order: list[str], chars: Column, marks: list[int] = FILL_MARKS, tokens: int = CHECKPOINT_TOKENS) -> DataFrame:
     """``key, mark`` and the order columns of the message at which a session's text first fills each share of the window."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fill = F.floor(F.ceil(F.sum(chars).over(w) / 4) / tokens * 100 + 0.5)
-    rows = messages.withColumn("_fill", fill).withColumn("mark", F.explode(F.array(*map(F.lit, marks)))).where(F.col("_fill") >= F.col("mark"))
+    fill = F.floor(F.ceil(F.col("_sum") / 4) / tokens * 100 + 0.5)
+    rows = running_sums(messages, [key], order, {"_sum": chars}).withColumn("_fill", fill).withColumn("mark", F.explode(F.array(*map(F.lit, marks)))).where(F.col("_fill") >= F.col("mark"))
     return rows.groupBy(key, "mark").agg(*(F.min_by(c, F.struct(*order)).alias(c) for c in order))
 
 
@@ -162,9 +167,8 @@ def last_n(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
 
 def runs(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """The first row of every run of equal values (null is a value): deduplicated runs."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    return rows.withColumn("_f", first | ~F.col(value).eqNullSafe(F.lag(value).over(w))).where("_f").drop("_f")
+    got = beside(rows, [key], order, F.col(value), "_before")
+    return got.where(F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.v"))).drop("_before")
 
 
 def summary(messages: DataFrame, cwd: str) -> DataFrame:
@@ -197,9 +201,8 @@ def summary(messages: DataFrame, cwd: str) -> DataFrame:
 
 def debounced(events: DataFrame, key: str, at: str, quiet: int) -> DataFrame:
     """The last event of every burst of a key: events less than ``quiet`` apart belong to one burst."""
-    w = Window.partitionBy(key).orderBy(at)
-    gap = F.lead(at).over(w) - F.col(at)
-    return events.withColumn("_g", gap).where((F.col("_g") >= quiet) | F.col("_g").isNull()).drop("_g")
+    got = beside(events, [key], [at], F.col(at), "_next", ahead=True)
+    return got.where(F.col("_next").isNull() | (F.col("_next.v") - F.col(at) >= quiet)).drop("_next")
 
 
 def session_totals(messages: DataFrame, key: str, role: str, amounts: list[str]) -> DataFrame:

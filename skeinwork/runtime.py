@@ -107,3 +107,48 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     starts = sizes.select("_range", before.alias("_before"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return dealt.withColumn(name, within).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
+def _dealt(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Rows by ranges of key and order together, so that the rows of one key may lie in any number of ranges: with ``_range``."""
+    return stored(df.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def running_sums(df: DataFrame, key: list[str], order: list[str], amounts: dict) -> DataFrame:
+    """``df`` with the running sum of each amount, a named column, within a key by ``order``, the row itself included. Sums run within
+    ranges and are carried over from a key's earlier ranges, so that no task holds all rows of a large key."""
+    from pyspark.sql import Window
+
+    names = [f"_amount_{n}" for n in amounts]
+    dealt = _dealt(df.select("*", *(a.alias(n) for a, n in zip(amounts.values(), names))), key, order)
+    part = dealt.groupBy(*key, "_range").agg(*(F.sum(n).alias(f"{n}_in") for n in names))
+    # a row for each range that a key has rows in
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = part.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("_range").alias("_r"), *(F.sum(f"{n}_in").over(before).alias(f"{n}_before") for n in names))
+    carry = hinted(stored(carry.where(" or ".join(f"{n}_before is not null" for n in names)), "carried"))
+    within = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select("*", *(F.sum(n).over(within).alias(f"{n}_sum") for n in names))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = out.join(carry, same, "left")
+    total = lambda n: F.when(F.col(f"{n}_sum").isNull(), F.col(f"{n}_before")).otherwise(F.col(f"{n}_sum") + F.coalesce(F.col(f"{n}_before"), F.lit(0)))
+    return out.select(*df.columns, *(total(n).alias(name) for n, name in zip(names, amounts)))
+
+
+def beside(df: DataFrame, key: list[str], order: list[str], value, name: str, ahead: bool = False) -> DataFrame:
+    """``df`` with ``name``: a struct of the ``value`` of the row before (or ahead) of the same key by ``order``, null where there is none.
+    Ranges hand theirs over at their ends, so that no task holds all rows of a large key."""
+    from pyspark.sql import Window
+
+    dealt = _dealt(df.withColumn("_value", F.struct(value.alias("v"))), key, order)
+    end = (F.min_by if ahead else F.max_by)("_value", F.struct(*order))
+    ends = dealt.groupBy(*key, "_range").agg(end.alias("_end"))
+    step = F.lead if ahead else F.lag
+    carry = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("_range").alias("_r"), step("_end").over(Window.partitionBy(*key).orderBy("_range")).alias("_carried"))
+    carry = hinted(stored(carry.where("_carried is not null"), "carried"))
+    out = dealt.withColumn(name, step("_value").over(Window.partitionBy(*key, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return out.join(carry, same, "left").select(*df.columns, F.coalesce(name, "_carried").alias(name))

@@ -93,3 +93,14 @@ def upsert_sink(path: str, keys: list[str], order: str):
         best.select(batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return write
+
+
+#: Fixed value: how often events that have come in are written to the log.
+FLUSH = "5 seconds"
+
+
+def ingest(events: DataFrame, path: str, checkpoint: str, now: bool = False):
+    """Append a stream of events to a log in Parquet, a flush every five seconds, or all that is there at once; gives the running query.
+    A flush cut short is written again from the checkpoint, once."""
+    w = events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (w.trigger(availableNow=True) if now else w.trigger(processingTime=FLUSH)).start()

@@ -52,3 +52,34 @@ def test_upserts(spark, tmp_path):
     for _ in range(2):  # a batch that is repeated leaves the same
         write(spark.createDataFrame([("a", "3", 5), ("b", "0", 1)], s), 1)
     assert {(r.key, r.data) for r in spark.read.parquet(str(tmp_path / "kv" / "v=1")).collect()} == {("a", "3"), ("b", "2")}
+
+
+def test_windows_leave_out_what_is_late(spark, tmp_path):
+    import os
+    from datetime import datetime
+
+    from skeinwork.streaming.live import windowed_counts
+
+    schema = "type string, at timestamp"
+    batches = [[("a", "2026-01-01 10:05:00"), ("a", "2026-01-01 10:50:00"), ("b", "2026-01-01 10:10:00")], [("a", "2026-01-01 12:30:00")], [("a", "2026-01-01 12:31:00")], [("a", "2026-01-01 10:01:00"), ("b", "2026-01-01 12:40:00")], [("b", "2026-01-01 20:00:00")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(t, datetime.fromisoformat(x)) for t, x in rows], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+        for f in (tmp_path / "in" / f"{k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + 100 * k,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = windowed_counts(stream, "at").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.type, r.start.hour): r.events for r in spark.table("windows").collect()}
+    # the row of 10:01 came when the watermark had passed its window
+    assert got[("a", 10)] == 2 and got[("b", 10)] == 1 and got[("a", 12)] == 2
+
+
+def test_ingest_by_flushes(spark, tmp_path):
+    from skeinwork.streaming.live import ingest
+
+    rows = [(k, "undo", None, "p", 1_770_000_000_000 + k, "{}") for k in range(7)]
+    schema = "id long, type string, session_id string, project_id string, timestamp long, data string"
+    spark.createDataFrame(rows, schema).write.json(str(tmp_path / "in"))
+    q = ingest(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "ck"), now=True)
+    q.awaitTermination()
+    assert spark.read.schema(schema).parquet(str(tmp_path / "log")).count() == 7
