@@ -2,7 +2,7 @@
 
 Label propagation in a fixed order and low-links depend on the order of single steps; weak components do
 not touch each other, so they are worked on one by one, exactly. A component larger than the
-stated bound is an error, not cut: such graphs need another algorithm.
+stated bound is propagated in waves over all tasks, with the same result; for bridges it is an error, not cut.
 """
 
 from __future__ import annotations
@@ -27,14 +27,35 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
-def _by_component(edges: DataFrame, work, schema: str) -> DataFrame:
+def _components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, weight) with their weak component, and the components of more than ``MOST_EDGES`` links."""
     e = stored(edges, "undirected")
     comp = connected_components(e, "a", "b").withColumnRenamed("node", "a")
     rows = stored(e.join(comp, "a"), "by-component")
-    largest = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > MOST_EDGES:
-        raise ValueError(f"a component has {largest} edges; at most {MOST_EDGES} are worked on in order")
-    return rows.groupBy("component").applyInPandas(work, schema)
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return rows, stored(sizes.where(F.col("n") > MOST_EDGES).select("component"), "large")
+
+
+def _in_waves(links: DataFrame, rounds: int) -> DataFrame:
+    """``node, label`` as ``propagate`` gives them, for links of any number. A node's turn in a round has come when all its lesser
+    neighbours have had theirs; nodes whose turn has come are no neighbours, so they take theirs at once. As many steps a
+    round as the longest rising path has nodes."""
+    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("near"), "weight").union(links.select("b", "a", "weight")), "near")
+    state = stored(both.select("node").distinct().select("node", F.col("node").alias("label"), F.lit(-1).alias("turn")), "state")
+    for k in range(rounds):
+        old = state.select("node", F.col("label").alias("was"))
+        while True:
+            waits = state.where(F.col("turn") < k).select("node")
+            held = both.where("near < node").join(waits.withColumnRenamed("node", "near"), "near", "left_semi").select("node").distinct()
+            ready = stored(waits.join(held, "node", "left_anti"), "ready")
+            if ready.limit(1).count() == 0:
+                break
+            votes = both.join(ready, "node").join(state.select(F.col("node").alias("near"), "label"), "near").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+            best = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("best"))
+            state = stored(state.join(best, "node", "left").select("node", F.coalesce("best", "label").alias("label"), F.when(F.col("best").isNotNull(), k).otherwise(F.col("turn")).alias("turn")), "state")
+        if state.join(old, "node").where("label <> was").limit(1).count() == 0:
+            break
+    return state.select("node", "label")
 
 
 def propagate(links: list[tuple], rounds: int = ROUNDS) -> dict:
@@ -67,7 +88,11 @@ def communities(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         label = propagate(list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None)), rounds)
         return pd.DataFrame({"node": list(label), "label": list(label.values())})
 
-    got = stored(_by_component(undirected(edges), work, f"node {kind}, label {kind}"), "labels")
+    rows, large = _components(undirected(edges))
+    got = rows.join(F.broadcast(large), "component", "left_anti").groupBy("component").applyInPandas(work, f"node {kind}, label {kind}")
+    if large.limit(1).count():
+        got = got.union(_in_waves(rows.join(F.broadcast(large), "component", "left_semi"), rounds))
+    got = stored(got, "labels")
     sizes = got.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
     # ranks by size need the number of larger communities, then the place among equals
     per_size = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
@@ -133,7 +158,10 @@ def bridges(edges: DataFrame) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(find_bridges(list(pdf[["a", "b", "weight"]].itertuples(index=False, name=None))), columns=["a", "b", "weight"])
 
-    return _by_component(e, work, f"a {kind}, b {kind}, weight double")
+    rows, large = _components(e)
+    if large.limit(1).count():
+        raise ValueError(f"a component has more than {MOST_EDGES} links; bridges are found in one task a component")
+    return rows.groupBy("component").applyInPandas(work, f"a {kind}, b {kind}, weight double")
 
 
 def surprises(edges: DataFrame, assignment: DataFrame, share: float = SURPRISE) -> DataFrame:

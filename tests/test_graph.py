@@ -241,3 +241,26 @@ def test_symbol_search_and_radius(spark):
     calls = spark.createDataFrame([(2, "loadUser"), (3, "load_user"), (1, "other"), (3, "none")], "caller_symbol_id long, callee_name string")
     assert {(r.id, r.depth) for r in Q.symbol_radius(calls, symbols, "loadUser").collect()} == {(2, 1), (3, 2)} and Q.symbol_radius(calls, symbols, "missing").count() == 0
     assert {(r.id, r.depth) for r in Q.symbol_radius(calls, symbols, "loadUser", 1).collect()} == {(2, 1)}
+
+
+def test_communities_in_waves_are_those_in_order(spark, monkeypatch):
+    import random
+
+    from skeinwork.operators import community as K
+
+    r = random.Random(8)
+    links = {(min(a, b), max(a, b)): float(r.randrange(1, 4)) for a, b in ((r.randrange(24), r.randrange(24)) for _ in range(45)) if a != b}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()] + [(100, 101, 1.0)], "src long, dst long, weight double")
+    want = K.propagate([(a, b, w) for (a, b), w in links.items()] + [(100, 101, 1.0)])
+    monkeypatch.setattr(K, "MOST_EDGES", 5)
+    rows, large = K._components(K.undirected(df))
+    assert large.count() >= 1
+    got = {x.node: x.label for x in K._in_waves(K.undirected(df), K.ROUNDS).collect()}
+    assert got == want
+    groups: dict = {}
+    for x in K.communities(df).collect():
+        groups.setdefault(x.community, set()).add(x.node)
+    same: dict = {}
+    for n, lab in want.items():
+        same.setdefault(lab, set()).add(n)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, same.values()))
