@@ -94,13 +94,20 @@ def _whole(code: np.ndarray, p: int, low: int) -> int:
 
 def cut_points(text: str, limit: int = 2000, overlap: int = 200, minimum: int = 500, spacing: int = 512) -> list[tuple[int, int, int]]:
     """``(start, fresh, end)`` of each piece: it repeats ``text[start:fresh]`` and adds ``text[fresh:end]``."""
-    n = len(text)
+    code = _codes(text)
+    return _cut(code, _boundaries(code)[0] if len(code) > limit else {}, limit, overlap, minimum, spacing)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _cut(code: np.ndarray, kinds: dict[int, np.ndarray], limit: int = 2000, overlap: int = 200, minimum: int = 500, spacing: int = 512) -> list[tuple[int, int, int]]:
+    n = len(code)
     if n <= limit:
         return [(0, 0, n)]
     if not 0 <= overlap < minimum <= (limit - overlap) // 2 or spacing & (spacing - 1):
         raise ValueError("needs overlap < minimum <= (limit - overlap) / 2 and a power of two as spacing")
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds, _ = _boundaries(code)
     anchors = set()
     for p in _landmarks(code, spacing).tolist():
         for kind in (BLOCK, LINE, SENTENCE, WORD):
@@ -143,10 +150,10 @@ def cut_points(text: str, limit: int = 2000, overlap: int = 200, minimum: int =
 
 def split_pieces(text: str, first_line: int = 1, **size: int) -> list[tuple[int, str, int, int, int]]:
     """``(piece, content, start_line, end_line, repeated characters)`` of each piece of ``text``."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = _boundaries(code)[1] if len(code) else np.empty(0, np.int64)
+    code = _codes(text)
+    kinds, ends = _boundaries(code) if len(code) else ({}, np.empty(0, np.int64))
     out = []
-    for k, (a, f, e) in enumerate(cut_points(text, **size)):
+    for k, (a, f, e) in enumerate(_cut(code, kinds, **size)):
         top = first_line + int(np.searchsorted(ends, a, "right"))
         last = first_line + int(np.searchsorted(ends, max(a, e - 1), "right"))
         out.append((k, text[a:e], top, last, f - a))
