@@ -42,27 +42,39 @@ def symbol_tokens(all_tokens: Column, line: Column, end_line: Column, lines: Col
     return F.slice(all_tokens, a + 1, F.greatest(b - a, F.lit(0)))
 
 
-def _signature(toks: list[str], hashes: int) -> list[int] | None:
-    if len(toks) < LEAST_TOKENS:
-        return None
-    runs = {"\0".join(toks[k : k + RUN]) for k in range(len(toks) - RUN + 1)}
-    best = np.full(hashes, 0xFFFFFFFF, np.int64)
-    heads = [f"{h}\x01".encode() for h in range(hashes)]
-    sha = hashlib.sha256
-    for run in runs:
-        r = run.encode()
-        best = np.minimum(best, np.fromiter((int.from_bytes(sha(h + r).digest()[:4], "big") for h in heads), np.int64, hashes))
-    return best.tolist()
+#: Runs of which a task holds the hashes at a time.
+HELD_RUNS = 20_000
+
+
+class _Hasher:
+    """Signatures of token lists; the hashes of a run are worked out once a task, as long as they are held."""
+
+    def __init__(self, hashes: int):
+        self.heads, self.seen = [f"{h}\x01".encode() for h in range(hashes)], {}
+
+    def __call__(self, toks: list[str]) -> list[int] | None:
+        if len(toks) < LEAST_TOKENS:
+            return None
+        if len(self.seen) > HELD_RUNS:
+            self.seen.clear()
+        sha, seen, rows = hashlib.sha256, self.seen, []
+        for run in {"\0".join(toks[k : k + RUN]) for k in range(len(toks) - RUN + 1)}:
+            if run not in seen:
+                r = run.encode()
+                seen[run] = np.fromiter((int.from_bytes(sha(h + r).digest()[:4], "big") for h in self.heads), np.int64, len(self.heads))
+            rows.append(seen[run])
+        return np.minimum.reduce(rows).tolist()
 
 
 def signatures(rows: DataFrame, hashes: int = HASHES) -> DataFrame:
     """``rows`` (with an array column tokens) and their min-hash signature; null below five tokens. A hash is the first
-    32 bits of SHA-256 over its number and a run of three tokens, computed once per distinct run in a batch."""
+    32 bits of SHA-256 over its number and a run of three tokens."""
     names = [f.name for f in rows.schema if f.name != "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = _Hasher(hashes)
         for batch in batches:
-            sigs = [None if t is None else _signature(t, hashes) for t in batch.column("tokens").to_pylist()]
+            sigs = [None if t is None else sign(t) for t in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sigs, pa.list_(pa.int64()))], names=[*names, "minhash"])
 
     schema = StructType([*(f for f in rows.schema if f.name != "tokens"), StructField("minhash", ArrayType(LongType()))])
@@ -74,24 +86,45 @@ def agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-def near_duplicates(sigs: DataFrame, least: float = 0.8, limit: int | None = 50, bands: int = BANDS, most: int | None = 100) -> DataFrame:
-    """Pairs of symbols of different files whose signatures (id, file_id, minhash) agree in ``least``: id_a, id_b, similarity.
-
-    Candidates share one of the bands. The reference semantics leave out buckets of more than ``most``
-    members; None keeps all. Sizes are counted before pairs are made, so large buckets are never gathered.
-    """
-    s = stored(sigs.where("minhash is not null").select("id", "file_id", "minhash"), "signatures")
+def _banded(s: DataFrame, id: str, bands: int, most: int | None) -> DataFrame:
+    """Pairs ``a, b`` (a < b) of rows of which some band of the signature is equal; buckets of more than ``most`` rows are left out, by
+    their counted size, so that they are never gathered."""
     rows = F.size("minhash") / bands
-    keys = s.select("id", "file_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("minhash", (k * rows).cast("int") + 1, rows.cast("int"))))).alias("band", "key"))
+    keys = s.select(F.col(id).alias("a"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("minhash", (k * rows).cast("int") + 1, rows.cast("int"))))).alias("band", "key"))
     sizes = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1" + (f" and n <= {most}" if most else ""))
-    keys = keys.join(sizes, ["band", "key"]).select("band", "key", "id", "file_id")
-    other = keys.select("band", "key", F.col("id").alias("id_b"), F.col("file_id").alias("fb"))
-    pairs = keys.join(other, ["band", "key"]).where("id < id_b and file_id <> fb").select(F.col("id").alias("id_a"), "id_b").distinct()
-    a, b = s.select(F.col("id").alias("id_a"), F.col("minhash").alias("ma")), s.select(F.col("id").alias("id_b"), F.col("minhash").alias("mb"))
-    out = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", agreement(F.col("ma"), F.col("mb")).alias("similarity")).where(F.col("similarity") >= least)
+    keys = keys.join(sizes, ["band", "key"]).select("band", "key", "a")
+    return keys.join(keys.withColumnRenamed("a", "b"), ["band", "key"]).where("a < b").select("a", "b").distinct()
+
+
+def _agreeing(pairs: DataFrame, s: DataFrame, id: str, least: float) -> DataFrame:
+    x, y = s.select(F.col(id).alias("a"), F.col("minhash").alias("ma")), s.select(F.col(id).alias("b"), F.col("minhash").alias("mb"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", agreement(F.col("ma"), F.col("mb")).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def near_duplicates(sigs: DataFrame, least: float = 0.8, limit: int | None = 50, bands: int = BANDS, most: int | None = 100) -> DataFrame:
+    """Pairs of symbols of different files whose signatures (id, file_id, minhash) agree in ``least``: id_a, id_b, similarity, the
+    first ``limit`` by similarity. The reference semantics leave out buckets of more than ``most`` members. A pair a row: where
+    very many symbols are equal, read ``near_classes``."""
+    s = stored(sigs.where("minhash is not null").select("id", "file_id", "minhash"), "signatures")
+    files = s.select("id", "file_id")
+    pairs = _banded(s, "id", bands, most).join(files.select(F.col("id").alias("a"), F.col("file_id").alias("fa")), "a").join(files.select(F.col("id").alias("b"), F.col("file_id").alias("fb")), "b").where("fa <> fb").select("a", "b")
+    out = _agreeing(pairs, s, "id", least).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "similarity")
     return out.orderBy(F.desc("similarity"), "id_a", "id_b").limit(limit) if limit else out
 
 
+def near_classes(sigs: DataFrame, least: float = 0.8, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of symbols by their signatures (id, file_id, minhash), without any bound: equal signatures are one class, named by
+    its least id, so that copies never meet as pairs; members are id, file_id, class. Links are pairs of classes that agree in ``least``, not
+    both of one and the same file only: class_a, class_b, similarity."""
+    s = stored(sigs.where("minhash is not null").select("id", "file_id", "minhash", F.xxhash64("minhash").alias("h")), "signatures")
+    one = stored(s.groupBy("h", "minhash").agg(F.min("id").alias("class"), F.min("file_id").alias("low"), F.max("file_id").alias("high")), "classes")
+    members = s.join(one, ["h", "minhash"]).select("id", "file_id", "class")
+    ends = one.select("class", "low", "high")
+    pairs = _banded(one, "class", bands, None).join(ends.select(F.col("class").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha")), "a").join(ends.select(F.col("class").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb")), "b")
+    pairs = pairs.where(F.least("la", "lb") != F.greatest("ha", "hb")).select("a", "b")
+    return members, _agreeing(pairs, one, "class", least).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity")
+
+
 def fragments(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """Hashes of every window of ``window`` tokens (id, tokens): id, token_offset, hash; none below 16 tokens."""
     fit = rows.where(F.size("tokens") >= window + 4)

@@ -15,6 +15,7 @@ from skeinwork.operators import telemetry as L
 from skeinwork.operators import versioning as H
 from skeinwork.operators.cooccurrence import cooccurring
 from skeinwork.plans.graph import RARE, WHOLE, part_flow, rare_flow
+from skeinwork.runtime import stored
 from skeinwork.sources import readers as D
 from skeinwork.sources.tables import table
 
@@ -232,10 +233,14 @@ SELECT hash, count(DISTINCT id) AS files, count(*) AS places FROM w GROUP BY 1 H
 
 
 def code_near_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols by the class of their signature, and to how many other classes each is near."""
     t = table(spark, d, "source_texts").select("file_id", F.split("content", r"\r?\n").alias("l"), C.tokens(F.col("content")).alias("t"))
     s = table(spark, d, "symbols").select("id", "file_id", "line", "end_line").distinct().join(t, "file_id")
     rows = s.select("id", "file_id", C.symbol_tokens(F.col("t"), F.col("line"), F.col("end_line"), F.size("l")).alias("tokens"))
-    return C.near_duplicates(C.signatures(rows), 0.8, None, most=None).select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+    members, links = C.near_classes(C.signatures(rows))
+    links = stored(links, "links")
+    n = links.select(F.col("class_a").alias("class")).union(links.select("class_b")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(n, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def shapes_shared(spark: SparkSession, d: str) -> DataFrame:

@@ -312,9 +312,11 @@ def code_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 CODE_SIGNATURES = f"WITH {_SIGNED} SELECT id, sha256(array_to_string(m, ',')) AS hash FROM mi"
-CODE_NEAR_COPIES = f"""WITH {_SIGNED}, bd AS (SELECT DISTINCT id, file_id, b, array_to_string(m[b * 8 + 1 : b * 8 + 8], ',') AS k FROM mi, (SELECT unnest(range(0, 16)) AS b)),
-pa AS (SELECT DISTINCT x.id AS id_a, y.id AS id_b FROM bd x JOIN bd y ON x.b = y.b AND x.k = y.k AND x.id < y.id AND x.file_id <> y.file_id),
-si AS (SELECT id_a, id_b, len(list_filter(list_zip(p.m, q.m), lambda z: z[1] = z[2])) / 128.0 AS s FROM pa JOIN mi p ON p.id = id_a JOIN mi q ON q.id = id_b) SELECT id_a, id_b, round(CAST(s AS DOUBLE), 9) AS similarity FROM si WHERE s >= 0.8"""
+CODE_NEAR_COPIES = f"""WITH {_SIGNED}, cl AS (SELECT id, file_id, m, min(id) OVER (PARTITION BY m) AS class, min(file_id) OVER (PARTITION BY m) AS low, max(file_id) OVER (PARTITION BY m) AS high FROM mi), oc AS (SELECT * FROM cl WHERE id = class),
+bd AS (SELECT id, low, high, b, array_to_string(m[b * 8 + 1 : b * 8 + 8], ',') AS k FROM oc, (SELECT unnest(range(0, 16)) AS b)),
+pa AS (SELECT DISTINCT x.id AS a, y.id AS z FROM bd x JOIN bd y ON x.b = y.b AND x.k = y.k AND x.id < y.id AND least(x.low, y.low) <> greatest(x.high, y.high)),
+si AS (SELECT a, z FROM pa JOIN oc p ON p.id = a JOIN oc q ON q.id = z WHERE len(list_filter(list_zip(p.m, q.m), lambda e: e[1] = e[2])) >= 0.8 * 128), n AS (SELECT c, count(*) AS links FROM (SELECT a AS c FROM si UNION ALL SELECT z FROM si) GROUP BY 1)
+SELECT id, class, coalesce(links, 0) AS links FROM cl LEFT JOIN n ON c = class"""
 
 
 def chunks_at_symbols(spark: SparkSession, d: str) -> DataFrame:

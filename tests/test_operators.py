@@ -166,6 +166,8 @@ def test_clones(spark):
     runs = ["\0".join(toks[k : k + 3]) for k in range(len(toks) - 2)]
     assert got[1][7] == min(int(hashlib.sha256(f"7\x01{r}".encode()).hexdigest()[:8], 16) for r in runs)
     assert [(r.id_a, r.id_b, r.similarity) for r in C.near_duplicates(sig).collect()] == [(1, 2, 1.0)]
+    members, links = C.near_classes(C.signatures(spark.createDataFrame([(k, k % 3, toks) for k in range(1, 40)] + [(50, 9, [*toks, ";"]), (51, 9, ["a", "b"])], "id long, file_id long, tokens array<string>")), 0.5)
+    assert {(r.id, r["class"]) for r in members.collect()} == {(k, 1) for k in range(1, 40)} | {(50, 50)} and [(r.class_a, r.class_b) for r in links.collect()] == [(1, 50)]
     assert C.fragments(rows).count() == 0
     for t in ('"' + "x" * 200_000 + '"', "'" + "\\n" * 100_000, "`" + "y\n" * 100_000 + "`"):
         assert one(spark, F.size(C.tokens(F.col("t"))), t=t) > 0
