@@ -34,6 +34,47 @@ def test_bridges(spark):
     assert K.bridges(spark.createDataFrame([], E)).count() == 0
 
 
+def links_kept_apart(links):
+    """Links without which their ends do not reach each other, by leaving out one at a time."""
+    near: dict = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = set()
+    for a, b in links:
+        seen, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            new = {y for y in near[x] if {x, y} != {a, b}} - seen
+            seen |= new
+            todo += new
+        if b not in seen:
+            out.add((a, b))
+    return out
+
+
+@pytest.mark.parametrize("graph", ["dense", "sparse", "path"])
+def test_bridges_of_more_links_than_a_task_takes(spark, monkeypatch, graph):
+    r = random.Random(graph)
+    if graph == "dense":  # two crowds, a link between them, and what hangs on them
+        e = [tuple(r.sample(range(k, k + 40), 2)) for k in (0, 100) for _ in range(300)] + [(7, 120)] + [(r.randrange(40), 200 + k) for k in range(30)] + [(200, 300), (300, 301)]
+    elif graph == "sparse":
+        e = [(r.randrange(200), r.randrange(200)) for _ in range(230)]
+    else:
+        e = [(k, k + 1) for k in range(250)]
+    e = [(f"n{a}", f"n{b}") for a, b in e]
+    links = {(min(x), max(x)) for x in e if x[0] != x[1]}
+    monkeypatch.setattr(K, "MOST_EDGES", 40)
+    monkeypatch.setattr(K, "LINKS", 40, raising=False)
+    df = spark.createDataFrame([(a, b, 2.0) for a, b in e] + [(b, a, 3.0) for a, b in e[::2]], E)
+    weight: dict = {}
+    for k, (a, b) in enumerate(e):
+        weight[min(a, b), max(a, b)] = max(weight.get((min(a, b), max(a, b)), 2.0), 3.0 if k % 2 == 0 else 2.0)
+    want = links_kept_apart(links)
+    assert len(want) > (249 if graph == "path" else 30)
+    assert {(a, b): w for a, b, w in K.bridges(df).collect()} == {x: weight[x] for x in want}
+
+
 def test_surprise(spark):
     e = triangles(spark, 10, 1)
     assert [tuple(r) for r in K.surprises(e, K.communities(e)).collect()] == [("a1", "b1", 1.0)]
